@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescribe.llm import lines, mixing, repeats, simhash, toxicity
+from tablescribe.llm import lines, mixing, repeats, simhash, tokens, toxicity
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +19,10 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "chars_lost")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, end_id=2)
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -33,6 +40,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op4_simhash_near_duplicates, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op4_simhash_near_duplicates, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
