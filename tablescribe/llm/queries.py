@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescribe.llm import lines, mixing, packing, repeats, simhash, tokens, toxicity
+from tablescribe.llm import lines, mixing, packing, ppm, repeats, simhash, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +31,10 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, end_id=1, window=2048)
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +48,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op4_simhash_near_duplicates, op6_pack_windows, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op4_simhash_near_duplicates, op6_pack_windows, op7_ppm_scores, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
