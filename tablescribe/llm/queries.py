@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescribe.llm import lines, mixing, packing, ppm, repeats, secret_scan, simhash, tokens, toxicity
+from tablescribe.llm import lines, mixing, multi_index, packing, ppm, repeats, secret_scan, simhash, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +23,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, end_id=2)
 
 
+def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -52,6 +56,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op4_simhash_near_duplicates, op5_secret_scan, op6_pack_windows, op7_ppm_scores, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op3_embedding_near_duplicates, op4_simhash_near_duplicates, op5_secret_scan, op6_pack_windows, op7_ppm_scores, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
