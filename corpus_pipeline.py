@@ -1,11 +1,59 @@
-"""A training-corpus pipeline: each stage calls one operator and works on all that the one before kept."""
+"""A training-corpus pipeline: each stage calls one operator on all rows that the stage before kept.
+
+Toxic documents go, one document of each group of near-duplicates stays, secrets are masked, sources are mixed to
+their target weights, and the mix is packed into windows of token ids.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tablescribe.llm import mixing, packing, secret_scan, simhash, toxicity
+from tablescribe.llm.common import written
+from tablescribe.llm.queries import TOKENIZER
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models, fitted on the labels, don't reject."""
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by their SimHash fingerprints, the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: whole documents, parts and repeats, as the quotas of their sources have it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mix in windows of 2,048 token ids."""
+    return packing.pack(docs, TOKENIZER, end_id=1, window=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_duplicates", drop_near_duplicates),
+    ("secret_scan", mask_secrets),
+    ("source_mixing", mix_sources),
+    ("packing", pack_windows),
+]
 
+#: No stage but the mixing can be said in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents, each result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
