@@ -10,7 +10,8 @@ Prefix doubling: in round r the rank of the first m bytes at an anchor is paired
 hash) of the m bytes at offset m; Spark sorts the pairs, pairs that occur once are dropped as unique, the
 others are ranked anew for 2 m bytes, from length/8 to length/2. What is left is cut into blocks: equal
 blocks (all strings of `length` bytes with that anchor) repeat as a whole; where blocks with one rank
-differ, each of their starts takes part in a last round at full length, one block standing for its equals.
+differ, cells of 16 starts are compared in the same way, by what their strings share and by all their bytes, and
+the starts of cells that agree in part take part in a last round at full length. One block stands for its equals.
 
 Work is linear in the input at any size of groups: groups are counted, not collected.
 """
@@ -22,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescribe.llm.common import written
@@ -33,6 +35,8 @@ _TABLE = np.random.default_rng(20240901).integers(1, 1 << 63, 256, dtype=np.uint
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; longer texts are cut, with an overlap of `length` bytes. Positions take _BITS bits.
 _CHUNK, _BITS = 1 << 20, 22
+#: Starts in a cell: where blocks differ, whole cells are compared before single starts.
+_CELL = 16
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -114,7 +118,7 @@ def anchored_blocks(texts: list[bytes], length: int) -> Iterator[dict[str, np.nd
         shift = np.array([at for _, at, _ in pieces]) - (np.cumsum(sizes) - sizes)
         whole = h.of(lo, hi - lo + length) ^ ((hi - lo).astype(np.uint64) * _BASE) ^ ((a - lo).astype(np.uint64) * _MIX)
         yield {
-            "i": np.array([i for i, *_ in pieces])[which], "lo": lo + shift[which], "hi": hi + shift[which],
+            "i": np.array([i for i, *_ in pieces])[which], "lo": lo + shift[which], "hi": hi + shift[which], "a": a + shift[which],
             "n0": h.of(a, q).view(np.int64), "n1": h.of(a + q, q).view(np.int64), "n2": h.of(a + 2 * q, 2 * q).view(np.int64), "whole": whole.view(np.int64),
         }
 
@@ -147,40 +151,82 @@ def _anchors(docs: DataFrame, length: int, names_only: bool) -> DataFrame:
 
     if names_only:
         return docs.select("text").mapInPandas(of, "n0 long, n long")
-    return docs.mapInPandas(of, "id long, th long, lo long, hi long, n0 long, n1 long, n2 long, whole long")
+    return docs.mapInPandas(of, "id long, th long, lo long, hi long, a long, n0 long, n1 long, n2 long, whole long")
+
+
+def _expanded(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from lo to hi of each pair, and the pair it is of."""
+    n = hi - lo + 1
+    of = np.repeat(np.arange(len(n)), n)
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), of
+
+
+def _near(first: np.ndarray) -> Iterator[slice]:
+    """Slices of ascending first bytes that span some _CHUNK bytes at most, so that a very long text is hashed in parts."""
+    at = 0
+    while at < len(first):
+        to = int(np.searchsorted(first, first[at] + 2 * _CHUNK))
+        yield slice(at, to)
+        at = to
+
+
+def _of_texts(blobs: pd.Series, lists: pd.Series, keys: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Row, bytes and the fields of the row's list as arrays, by ascending lo."""
+    for row, (blob, items) in enumerate(zip(blobs, lists)):
+        fields = [np.array([x[k] for x in items], np.int64) for k in keys]
+        order = np.argsort(fields[0], kind="stable")
+        yield row, np.frombuffer(zstandard.decompress(blob), np.uint8), [f[order] for f in fields]
+
+
+def _cells(length: int):
+    """Blocks of a text -> cells: up to _CELL neighbouring starts at fixed distances from the anchor. core is a hash of
+    the bytes that all strings starting in such a cell share, whole one of all their bytes."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, ths = b["id"].to_numpy(), b["th"].to_numpy()
+            for row, data, (lo, hi, anchor, n) in _of_texts(b["blob"], b["asked"], ("lo", "hi", "a", "n")):
+                for part in _near(lo):
+                    first = int(lo[part][0])
+                    h = Hashes(data[first : int(anchor[part].max()) + length])
+                    far, near = (anchor[part] - lo[part]) // _CELL, (anchor[part] - hi[part]) // _CELL
+                    g, k = _expanded(near, far)
+                    last = anchor[part][k] - g * _CELL
+                    start, end = np.maximum(lo[part][k], last - _CELL + 1), np.minimum(hi[part][k], last)
+                    salt = g.astype(np.uint64) * _BASE
+                    core = h.of(last - first, length - _CELL + 1) ^ salt
+                    whole = h.of(start - first, end - start + length) ^ ((last - start).astype(np.uint64) * _MIX) ^ ((end - start).astype(np.uint64) * _BASE)
+                    yield pd.DataFrame({"id": ids[row], "th": ths[row], "lo": start, "hi": end, "core": core.view(np.int64), "whole": whole.view(np.int64), "n": np.minimum(n[part][k], 2)})
+
+    return of
 
 
 def _windows(length: int):
+    """Cells of a text -> a row for each start in them, with the hash of its string."""
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for text, blocks in zip(b["text"], b["blocks"]):
-                data = np.frombuffer(text.encode(), np.uint8)
-                number, lo, hi, weight = (np.array([x[k] for x in blocks], np.int64) for k in ("block", "lo", "hi", "n"))
-                order = np.argsort(lo)
-                number, lo, hi, weight = number[order], lo[order], hi[order], weight[order]
-                step = max(1, (4 * _CHUNK) // int((hi - lo).max() + 1))
-                for j in range(0, len(lo), step):
-                    at, n = lo[j : j + step], (hi - lo + 1)[j : j + step]
-                    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.repeat(at, n) + offset
-                    found = np.concatenate([_window_hashes(data, s, length) for s in _near(start, length)])
-                    yield pd.DataFrame({"block": np.repeat(number[j : j + step], n), "at": start, "n": np.repeat(np.minimum(weight[j : j + step], 2), n), "h": found.view(np.int64)})
+            ids, ths = b["id"].to_numpy(), b["th"].to_numpy()
+            for row, data, (lo, hi, n) in _of_texts(b["blob"], b["asked"], ("lo", "hi", "n")):
+                for part in _near(lo):
+                    first = int(lo[part][0])
+                    h = Hashes(data[first : int(hi[part].max()) + length])
+                    start, k = _expanded(lo[part], hi[part])
+                    yield pd.DataFrame({"id": ids[row], "th": ths[row], "lo": start, "h": h.of(start - first, length).view(np.int64), "n": n[part][k]})
 
     return of
 
 
-def _near(starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Ascending starts in runs that span at most some _CHUNK bytes."""
-    at = 0
-    while at < len(starts):
-        to = int(np.searchsorted(starts, starts[at] + 2 * _CHUNK))
-        yield starts[at:to]
-        at = to
+def packed_text(text: Column) -> Column:
+    """Compressed UTF-8 bytes: what is shuffled instead of texts."""
 
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for texts in batches:
+            yield pd.Series([pack(t.encode() if t else b"") for t in texts], dtype=object)
 
-def _window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    first = starts[0]
-    return Hashes(data[first : starts[-1] + length]).of(starts - first, length)
+    return of(text)
 
 
 def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -197,18 +243,25 @@ def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
         ranks = written(pairs.orderBy("rank", name).withColumn("next", F.monotonically_increasing_id()), "ranks")
         left = left.join(ranks, ["rank", name]).drop("rank", name).withColumnRenamed("next", "rank")
     left = written(left, "anchors")
-    blocks = left.groupBy("rank", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("at"))
-    mixed = left.groupBy("rank").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x < y").select("rank")
-    blocks = written(blocks.withColumn("block", F.xxhash64("rank", "whole")), "blocks")
+    blocks = left.groupBy("rank", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi", "a")).alias("at"))
+    blocks = written(blocks, "blocks")
+    mixed = blocks.groupBy("rank").agg(F.count("*").alias("d")).where("d > 1").select("rank")
     equal = left.join(blocks.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select("id", "th", "lo", "hi")
-    differing = blocks.join(mixed, "rank", "left_semi").select("at.*", "n", "block")
-    asked = differing.groupBy("id", "th").agg(F.collect_list(F.struct("block", "lo", "hi", "n")).alias("blocks"))  # at most a text's own
-    texts = docs.select("id", "th", "text").join(asked, ["id", "th"]).dropDuplicates(["id", "th"])
-    windows = written(texts.select("text", "blocks").mapInPandas(_windows(length), "block long, at long, n long, h long"), "windows")
+    differing = blocks.join(mixed, "rank", "left_semi").select("at.*", "n")
+
+    texts = docs.select("id", "th", packed_text(F.col("text")).alias("blob"))
+    by_text = lambda rows, *columns: rows.groupBy("id", "th").agg(F.collect_list(F.struct(*columns)).alias("asked"))  # noqa: E731  at most a text's own
+    texts = written(texts.join(by_text(differing, "lo", "hi", "a", "n"), ["id", "th"]).dropDuplicates(["id", "th"]), "texts")
+    cells = written(texts.mapInPandas(_cells(length), "id long, th long, lo long, hi long, core long, whole long, n long"), "cells")
+    cores = cells.groupBy("core").agg(F.sum("n").alias("c"), F.min("whole").alias("x"), F.max("whole").alias("y")).where("c > 1").select("core", (F.col("x") == F.col("y")).alias("same"))
+    shared = written(cells.join(cores, "core").drop("core", "whole"), "shared")
+    whole = shared.where("same and n = 1").select("id", "th", "lo", "hi")
+
+    windows = texts.select("id", "th", "blob").join(by_text(shared.where("not same"), "lo", "hi", "n"), ["id", "th"])
+    windows = written(windows.mapInPandas(_windows(length), "id long, th long, lo long, h long, n long"), "windows")
     again = windows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    found = windows.where("n = 1").join(again, "h", "left_semi").groupBy("block").agg(F.array_sort(F.collect_list("at")).alias("starts"))  # at most a block's own
-    single = differing.where("n = 1").join(found, "block").select("id", "th", F.explode("starts").alias("lo"))
-    return equal.unionAll(single.select("id", "th", "lo", F.col("lo").alias("hi")))
+    single = windows.where("n = 1").join(again, "h", "left_semi").select("id", "th", "lo", F.col("lo").alias("hi"))
+    return equal.unionAll(whole).unionAll(single)
 
 
 def spans_of(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -236,13 +289,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     mine = docs.select(F.col(id_col).alias("name"), F.xxhash64(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     starts = repeated_starts(mine, length)
     per_text = starts.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # at most a text's own
-    both = mine.join(per_text, ["id", "th"], "left").select(F.col("name").alias("id"), "text", "runs")
+    both = mine.select("name", "id", "th", packed_text(F.col("text")).alias("blob")).join(per_text, ["id", "th"], "left").select(F.col("name").alias("id"), "blob", "runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, runs in zip(b["text"], b["runs"]):
-                data = text.encode()
+            for blob, runs in zip(b["blob"], b["runs"]):
+                data = zstandard.decompress(blob)
                 spans = spans_of([(r["lo"], r["hi"]) for r in runs], length) if runs is not None else []
                 at, kept = 0, []
                 for lo, hi in spans:
