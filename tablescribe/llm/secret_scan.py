@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 
 from tablescribe.llm.common import written
 
-#: kind -> (pattern, the group whose length counts, its least length), in the order in which kinds are listed.
+#: kind -> (pattern, the group whose length counts, its least length, the group that is the find), in the order in
+#: which kinds are listed.
 PATTERNS = {
-    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),  # a run that is too short holds no longer one
-    "hex": (r"[0-9a-f]{32,}", 0, 32),
-    "random": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}", 0, 20),
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, 0),
+    "access": (r"AKIA[A-Z0-9]{12,}", 0, 16, 0),  # a run that is too short holds no longer one
+    "hex": (r"[0-9a-f]{32,}", 0, 32, 0),
+    "random": (r"(?:^|[^\w+/-])([\w+/-]{20,}+={0,2})", 1, 20, 1),  # tried only after what can't be in a run
 }
 KINDS = tuple(PATTERNS)
+#: How often two characters of natural text are the same.
+COLLISION = 0.055
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding -> (pattern, alphabet), the first that fits.
 ENCODINGS = {
@@ -43,14 +46,26 @@ ENCODINGS = {
 }
 
 
+def _may_match(text: Column) -> dict[str, Column]:
+    """Cheap conditions without which a text has no match of a kind."""
+    low = F.lower(text)
+    word = F.contains(low, F.lit("passw"))
+    for w in ("secret", "token", "apikey", "api_key"):
+        word = word | F.contains(low, F.lit(w))
+    run = text.rlike(PATTERNS["random"][0])  # a long hexadecimal string is in such a run
+    return {"assign": word, "access": F.contains(text, F.lit("AKIA")), "hex": run, "random": run}
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """Matches of a kind in a text: the match, the length that counts, the length of the text between it and the one before."""
-    pattern, group, _ = PATTERNS[kind]
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern), F.length)
-    counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole, F.length)
-    some = F.arrays_zip(whole.alias("m"), counted.alias("size"), F.slice(between, 1, F.size(whole)).alias("gap"))
-    return F.when(F.regexp_count(text, F.lit(pattern)) > 0, some)
+    """Matches of a kind in a text: the find, the length that counts, the length of the text from the find before to
+    the end of this one."""
+    pattern, group, _, find = PATTERNS[kind]
+    extracted = {g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in {0, group, find}}
+    whole = extracted[0]
+    gaps = F.slice(F.transform(F.split(text, pattern), F.length), 1, F.size(whole))
+    step = F.zip_with(gaps, F.transform(whole, F.length), lambda a, b: a + b)
+    some = F.arrays_zip(extracted[find].alias("m"), F.transform(extracted[group], F.length).alias("size"), step.alias("step"))
+    return F.when(F.size(whole) > 0, some)
 
 
 def _normal(z: Column) -> Column:
@@ -71,30 +86,36 @@ def battery(tokens: DataFrame, skew: float = 1.7) -> DataFrame:
     t = tokens.withColumn("core", core).where(F.col("core").rlike("[0-9]") & F.col("core").rlike("[A-Za-z]"))
     t = t.withColumn("encoding", encoding).where("encoding is not null").withColumn("alphabet", alphabet)
     t = t.withColumn("n", F.length("core").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
+    t = written(t, "candidates")  # between steps, lest the optimizer write out each where it is used
     zero = F.lit(0.0)
     count = lambda c: F.col("n") - F.length(F.replace(F.col("core"), c, F.lit("")))
     squares = F.aggregate(F.split("alphabet", ""), zero, lambda s, c: s + count(c) * count(c))
     index = F.transform(F.split("core", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1)
     t = t.withColumn("chi2", F.col("k") / F.col("n") * squares - F.col("n")).withColumn("x", index)
-    t = t.withColumn("mean", F.aggregate("x", zero, lambda s, v: s + v) / F.col("n"))
+    t = written(t, "indexes").withColumn("mean", F.aggregate("x", zero, lambda s, v: s + v) / F.col("n"))
     t = t.withColumn("high", F.aggregate("x", zero, lambda s, v: s + F.when(v >= F.col("k") / 2, 1.0).otherwise(0.0)))
+    t = written(t, "moments")
     first, second = F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1)
     changes = F.aggregate(F.zip_with(first, second, lambda a, b: F.when((a >= F.col("k") / 2) != (b >= F.col("k") / 2), 1.0).otherwise(0.0)), zero, lambda s, v: s + v)
     products = F.aggregate(F.zip_with(first, second, lambda a, b: (a - F.col("mean")) * (b - F.col("mean"))), zero, lambda s, v: s + v)
     spread = F.aggregate("x", zero, lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean")))
-    t = t.withColumn("changes", changes).withColumn("products", products).withColumn("spread", spread)
+    t = written(t.withColumn("changes", changes).withColumn("products", products).withColumn("spread", spread), "sums")
     n, k, df = F.col("n"), F.col("k"), F.col("k") - 1
     cube = lambda v: F.pow(F.greatest(v, F.lit(0.0)), 1 / 3)
     hilferty = lambda chi, d: (cube(chi / d) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d))
     mu = 2 * F.col("high") * (n - F.col("high")) / n + 1
     runs = F.when(mu > 2, (F.col("changes") + 1 - mu) / F.sqrt((mu - 1) * (mu - 2) / (n - 1))).otherwise(F.lit(99.0))
     serial = F.when(F.col("spread") > 0, F.col("products") / F.col("spread") * F.sqrt(n) + 1 / F.sqrt(n)).otherwise(F.lit(99.0))
-    # under skewed frequencies: chi-squared grows by (n - 1)(skew - 1); moments of a non-central chi-squared
-    natural = (F.col("chi2") - df - (n - 1) * (skew - 1)) / F.sqrt(2 * (df + 2 * (n - 1) * (skew - 1)))
-    return t.select(
-        *tokens.columns, "encoding", "n", "chi2", (1 - _normal(hilferty(F.col("chi2"), df))).alias("p_uniform"),
-        (2 * (1 - _normal(F.abs(runs)))).alias("p_runs"), (2 * (1 - _normal(F.abs(serial)))).alias("p_serial"), _normal(natural).alias("p_natural"),
-    )
+    # under skewed frequencies chi-squared grows by (n - 1)(skew - 1): moments of a non-central chi-squared. Natural
+    # text uses few of a large alphabet's characters, so that two of them agree in COLLISION of all cases at least
+    excess = (n - 1) * (F.greatest(F.lit(skew), COLLISION * k) - 1)
+    natural = (F.col("chi2") - df - excess) / F.sqrt(2 * (df + 2 * excess))
+    t = t.withColumn("z_uniform", hilferty(F.col("chi2"), df)).withColumn("z_runs", F.abs(runs)).withColumn("z_serial", F.abs(serial)).withColumn("z_natural", natural)
+    t = written(t.drop("x"), "tests")
+    return written(t.select(
+        *tokens.columns, "encoding", "n", "chi2", (1 - _normal(F.col("z_uniform"))).alias("p_uniform"),
+        (2 * (1 - _normal(F.col("z_runs")))).alias("p_runs"), (2 * (1 - _normal(F.col("z_serial")))).alias("p_serial"), _normal(F.col("z_natural")).alias("p_natural"),
+    ), "tested")
 
 
 def discoveries(tested: DataFrame, rate: float) -> DataFrame:
@@ -113,8 +134,8 @@ def discoveries(tested: DataFrame, rate: float) -> DataFrame:
 
 def _found(docs: DataFrame, id_col: str, text_col: str, whole_rows: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *[_matches(text, k).alias(k) for k in KINDS], *[F.struct(*docs.columns).alias("doc")] * whole_rows)
-    return written(rows, "matches")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"), *[c.alias(f"may_{k}") for k, c in _may_match(text).items()], *[F.struct(*docs.columns).alias("doc")] * whole_rows)
+    return written(rows.select("row", "id", *[F.when(F.col(f"may_{k}"), _matches(F.col("text"), k)).alias(k) for k in KINDS], *["doc"] * whole_rows), "matches")
 
 
 def spans(found: DataFrame, alpha: float = 0.001, rate: float = 0.05, skew: float = 1.7) -> DataFrame:
@@ -122,9 +143,9 @@ def spans(found: DataFrame, alpha: float = 0.001, rate: float = 0.05, skew: floa
     parts = [found.where(F.col(k).isNotNull()).select("row", F.lit(k).alias("kind"), F.posexplode(k).alias("i", "x")) for k in KINDS]
     each = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     to_here = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("x.gap") + F.length("x.m")).over(to_here)
+    end = F.sum("x.step").over(to_here)
     least = F.lit(0)
-    for k, (_, _, size) in PATTERNS.items():
+    for k, (_, _, size, _) in PATTERNS.items():
         least = F.when(F.col("kind") == k, size).otherwise(least)
     each = each.select("row", "kind", (end - F.length("x.m")).alias("start"), end.alias("end"), F.col("x.m").alias("token"), F.col("x.size").alias("size"))
     each = written(each.where(F.col("size") >= least), "spans")
@@ -187,5 +208,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", **ho
     same = found.where(~F.greatest(*[F.col(k).isNotNull() for k in KINDS])).select("doc", text.alias("new"))
     new = {text_col: F.col("new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+        length = F.length("new").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("new").eqNullSafe(text), F.col("doc.n_chars")).otherwise(length)
     return same.unionAll(changed).select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
