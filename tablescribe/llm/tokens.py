@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 
 from tablescribe.llm.common import shared_folder
 
+#: How byte-level tokenizers write each byte as a character: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHARACTER = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
 #: Words remembered by a worker; beyond that it starts anew, so memory stays bounded.
-_REMEMBERED = 600_000
+_REMEMBERED = 900_000
 
 
 class WordIds(dict):
@@ -44,6 +48,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -51,9 +56,16 @@ class WordIds(dict):
     def _encoded(self, word: bytes) -> bytes:
         return array("I" if self.wide else "H", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, word: bytes) -> bytes:
+        """The ids of a word that is one piece to the tokenizer and that its normalizer leaves as it is: only
+        lower-case letters of the Latin alphabet up to U+017F. Its BPE model is asked directly."""
+        return array("I" if self.wide else "H", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_AS_CHARACTER))]).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > 2 and word[-1:] in b".," and 97 <= word[-2] <= 122:
             ids = self[word[:-1]] + self[word[-1:]]
+        elif word.isalpha() or (text := word.decode()).isalpha() and max(text) < "\u0180" and text == text.lower():
+            ids = self._piece(word)
         else:
             ids = self._encoded(word)
         if len(self) >= _REMEMBERED:
