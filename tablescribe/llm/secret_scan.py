@@ -27,7 +27,8 @@ PATTERNS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, 0),
     "access": (r"AKIA[A-Z0-9]{12,}", 0, 16, 0),  # a run that is too short holds no longer one
     "hex": (r"[0-9a-f]{32,}", 0, 32, 0),
-    "random": (r"(?:^|[^\w+/-])([\w+/-]{20,}+={0,2})", 1, 20, 1),  # tried only after what can't be in a run
+    # a run starts only after what can't be in one; '=' is padding only where no run follows it, as after a long name
+    "random": (r"(?<![\w+/-])[\w+/-]{20,}+={0,2}(?![\w+/-])", 0, 20, 0),
 }
 KINDS = tuple(PATTERNS)
 #: How often two characters of natural text are the same.

@@ -44,6 +44,21 @@ def test_base_spans_and_random_strings(spark, docs, nothing):
     assert secret_scan.scan(docs).count() == docs.count() and secret_scan.scan(nothing).count() == 0
 
 
+def test_a_long_name_before_the_value(spark):
+    r = random.Random(9)
+    value = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
+    values = [value() for _ in range(30)]
+    names = ["AWS_SECRET_ACCESS_KEY=", "my-very-long-config-entry==", "averyveryverylongname1="]
+    rows = [(i, f"export {names[i % 3]}{v}{'=' * (i % 2)} end") for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(table).collect()}
+    at = lambda i: f"random:{rows[i][1].index(values[i])}:{rows[i][1].index(' end')}"
+    found = [i for i in spans if at(i) in spans[i].split(",")]
+    assert len(found) >= 28
+    text = {r["doc_id"]: r["text"] for r in secret_scan.redact(table).collect()}
+    assert all(values[i] not in text[i] for i in found)
+
+
 def test_redaction(spark, docs, nothing):
     rows = cases()
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, kind string, row long")).collect()}
