@@ -4,11 +4,13 @@ Each half of the vectors has a codebook of its own; the pairs of codewords form
 lies in the cell of its nearest codewords. A search visits cells by the sum of its squared distances to
 their two codewords, nearest first (multi-sequence order), and compares with the vectors there by exact
 cosine. How many cells are visited is measured: `probes` vectors are compared with all others, and the number is
-the least at which their links reach `recall`. A link is found if either end visits the other's cell.
+the least at which their links reach `recall`, also for links that the probes lack because they are rare: each probe
+is turned in random directions to exactly the least cosine, and the turned vectors must be found as often. A link is
+found if either end visits the other's cell.
 
 Equal vectors are one class with a number of copies. The codebooks are fitted on a bounded sample
-(`sample` classes); every class is indexed and searched. Cells with many members are dealt out in blocks of members and
-of searches, so that no task holds more than `block` x `batch` of them, and a block reports numbers of links and a
+(`sample` classes); every class is indexed and searched. Small cells with near codewords share a region, to which a
+search goes once. Regions with many members are dealt out in blocks of members and of searches, so that no task holds more than `block` x `batch` of them, and a block reports numbers of links and a
 spanning forest, never its pairs.
 """
 
@@ -58,6 +60,7 @@ class Index:
     first: np.ndarray
     second: np.ndarray
     visits: int = 1
+    near: np.ndarray | None = None  # the region of each second codeword, within those of the first
 
     @property
     def cells(self) -> int:
@@ -82,6 +85,16 @@ class Index:
         best = (d1[:, a] + d2[:, b]).argsort(axis=1, kind="stable")[:, :v]
         return np.take_along_axis(o1, a[best], 1) * len(self.second) + np.take_along_axis(o2, b[best], 1)
 
+    def regions(self, cells: np.ndarray) -> np.ndarray:
+        """The region of each cell; without regions every cell is its own."""
+        a, b = np.divmod(cells, len(self.second))
+        return cells if self.near is None else a * (int(self.near.max()) + 1) + self.near[b]
+
+    def home(self, u: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        d1, d2 = self.halves(u)
+        return d1.argmin(axis=1) * len(self.second) + d2.argmin(axis=1)
+
     def ranks(self, u: np.ndarray) -> np.ndarray:
         """For each vector, the place of every cell in its order."""
         d1, d2 = self.halves(u)
@@ -109,7 +122,21 @@ def forest(hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[
     return out
 
 
-def _train(classes: DataFrame, n: int, sample: int, probes: int, recall: float, cosine: float, size: int) -> Index:
+def visits_at(index: Index, u: np.ndarray, cosine: float, recall: float, turns: int = 4, seed: int = 17) -> int:
+    """How many cells either end must visit so that pairs at exactly this cosine, in random directions, reach `recall`."""
+    if not -1 < cosine < 1 or u.shape[1] < 2:
+        return 1
+    rng, rows, found = np.random.default_rng(seed), np.arange(len(u)), []
+    own, place = index.home(u), index.ranks(u)
+    for _ in range(turns):
+        side = rng.normal(size=u.shape)
+        side -= (side * u).sum(axis=1)[:, None] * u
+        turned = cosine * u + math.sqrt(1 - cosine * cosine) * side / np.sqrt((side * side).sum(axis=1))[:, None]
+        found.append(np.minimum(place[rows, index.home(turned)], index.ranks(turned)[rows, own]))
+    return int(np.quantile(np.concatenate(found), recall, method="higher")) + 1
+
+
+def _train(classes: DataFrame, n: int, sample: int, probes: int, recall: float, cosine: float, size: int, block: int) -> Index:
     order = F.xxhash64("cid", F.lit(11))
     some = unit([r["v"] for r in classes.select("v", "cid").orderBy(order, "cid").limit(sample).toLocalIterator()])
     k = int(min(256, max(2, math.sqrt(n / size))))
@@ -125,8 +152,7 @@ def _train(classes: DataFrame, n: int, sample: int, probes: int, recall: float,
         found = np.zeros(place.shape, np.int64)
         for b in batches:
             x = unit(b["v"])
-            d1, d2 = index.halves(x)
-            cell = d1.argmin(axis=1) * len(index.second) + d2.argmin(axis=1)
+            cell = index.home(x)
             q, y = np.nonzero((u @ x.T >= cosine) & (ids[:, None] != b["cid"].to_numpy()[None, :]))
             np.add.at(found, (q, place[q, cell[y]]), 1)
         q, p = np.nonzero(found)
@@ -138,7 +164,9 @@ def _train(classes: DataFrame, n: int, sample: int, probes: int, recall: float,
         by_place = seen.groupby("place")["share"].sum().sort_index()
         reached = by_place.cumsum() / by_place.sum()
         index.visits = int(reached.index[(reached >= recall).to_numpy().argmax()]) + 1
-    index.visits = min(index.cells, max(4, index.visits))
+    index.visits = min(index.cells, max(4, index.visits, visits_at(index, u, cosine, recall)))
+    groups = min(len(index.second), math.ceil(n / len(index.first) / block))  # a region holds about a block
+    index.near = _distances(index.second, _codebook(index.second, groups)).argmin(axis=1)
     return index
 
 
@@ -148,16 +176,27 @@ def _compare(cosine: float):
         if not len(q) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": "int64", "b": "Int64", "links": "int64"})
         qi, yi, nq, ny = q["cid"].to_numpy(), y["cid"].to_numpy(), q["n"].to_numpy(), y["n"].to_numpy()
-        hits = (unit(q["v"]) @ unit(y["v"]).T >= cosine) & (qi[:, None] != yi[None, :])
-        links_q = hits @ ny
-        # a member that doesn't visit the searcher's cell itself learns of the link here
-        own, visited = q["cell"].to_numpy(), np.stack(y["visited"].to_numpy())
-        links_y = np.zeros(len(y), np.int64)
-        for c in np.unique(own[hits.any(axis=1)]):
-            unaware = ~(visited == c).any(axis=1)
-            if unaware.any():
-                links_y[unaware] += nq[own == c] @ hits[np.ix_(own == c, unaware)]
-        edges = forest(hits, qi, yi)
+        qu, yu, own, at = unit(q["v"]), unit(y["v"]), q["cell"].to_numpy(), y["cell"].to_numpy()
+        visited = np.stack(y["visited"].to_numpy())
+        links_q, links_y, edges = np.zeros(len(q), np.int64), np.zeros(len(y), np.int64), []
+        wanted = np.concatenate(q["visited"].to_numpy())
+        asker = np.repeat(np.arange(len(q)), q["visited"].map(len).to_numpy())
+        by_cell = wanted.argsort(kind="stable")
+        wanted, asker = wanted[by_cell], asker[by_cell]
+        for cell in np.unique(at):
+            i, j = asker[np.searchsorted(wanted, cell) : np.searchsorted(wanted, cell, "right")], np.flatnonzero(at == cell)
+            if not len(i):
+                continue
+            hits = (qu[i] @ yu[j].T >= cosine) & (qi[i][:, None] != yi[j][None, :])
+            if not hits.any():
+                continue
+            links_q[i] += hits @ ny[j]
+            # a member that doesn't visit the searcher's cell itself learns of the link here
+            for c in np.unique(own[i][hits.any(axis=1)]):
+                unaware = ~(visited[j] == c).any(axis=1)
+                if unaware.any():
+                    links_y[j[unaware]] += nq[i][own[i] == c] @ hits[np.ix_(own[i] == c, unaware)]
+            edges += forest(hits, qi[i], yi[j])
         ids, links = np.concatenate([qi, yi]), np.concatenate([links_q, links_y])
         some = links > 0
         return pd.DataFrame({
@@ -182,7 +221,8 @@ def near_duplicates(
     """
     v = F.col("v")
     fit = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("v", F.when(fit, v)), "vectors")
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v")).withColumn("v", F.when(fit, v)), "vectors")
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     lengths = classes.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     size = lengths["size"] if lengths else 0
@@ -191,7 +231,7 @@ def near_duplicates(
     no_links = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return no_links
-    index = _train(classes, n, sample, probes, recall, cosine, cell_size)
+    index = _train(classes, n, sample, probes, recall, cosine, cell_size, block)
     at = vectors.sparkSession.sparkContext.broadcast(index)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,18 +239,19 @@ def near_duplicates(
             for i in range(0, len(b), 1024):
                 part = b.iloc[i : i + 1024]
                 cells = at.value.nearest(unit(part["v"]))
-                yield part.assign(cell=cells[:, 0], visited=list(cells))
-
-    indexed = written(classes.select("cid", "n", "v").mapInPandas(placed, "cid long, n long, v array<double>, cell long, visited array<long>"), "indexed")
-    visits = indexed.select(F.explode("visited").alias("at")).groupBy("at").agg(F.count("*").alias("asked"))
-    members = indexed.groupBy(F.col("cell").alias("at")).agg(F.count("*").alias("held"))
-    # a row per cell, 65,536 at most
+                regions = at.value.regions(cells)
+                asked = [[{"at": r, "cells": c[g == r]} for r in np.unique(g)] for c, g in zip(cells, regions)]
+                yield part.assign(cell=cells[:, 0], region=regions[:, 0], visited=list(cells), asked=asked)
+
+    indexed = written(classes.select("cid", "n", "v").mapInPandas(placed, f"cid long, n long, v {kind}, cell int, region int, visited array<int>, asked array<struct<at: int, cells: array<int>>>"), "indexed")
+    visits = indexed.select(F.explode("asked.at").alias("at")).groupBy("at").agg(F.count("*").alias("asked"))
+    members = indexed.groupBy(F.col("region").alias("at")).agg(F.count("*").alias("held"))
+    # a row per region, 65,536 at most
     grid = written(members.join(visits, "at").select("at", F.ceil(F.col("held") / block).alias("blocks"), F.ceil(F.col("asked") / batch).alias("batches")), "grid")
     part = lambda of, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    held = indexed.withColumn("at", F.col("cell")).join(F.broadcast(grid), "at").withColumn("mb", part("blocks", 1)).withColumn("qb", every("batches")).withColumn("asks", F.lit(False))
-    asks = indexed.withColumn("at", F.explode("visited")).join(F.broadcast(grid), "at").withColumn("qb", part("batches", 2)).withColumn("mb", every("blocks")).withColumn("asks", F.lit(True))
-    asks = asks.withColumn("visited", F.array().cast("array<long>"))
+    held = indexed.withColumn("at", F.col("region")).join(F.broadcast(grid), "at").withColumn("mb", part("blocks", 1)).withColumn("qb", every("batches")).withColumn("asks", F.lit(False))
+    asks = indexed.select("cid", "n", "v", "cell", F.inline("asked")).withColumnRenamed("cells", "visited").join(F.broadcast(grid), "at").withColumn("qb", part("batches", 2)).withColumn("mb", every("blocks")).withColumn("asks", F.lit(True))
     columns = ["at", "mb", "qb", "asks", "cid", "n", "v", "cell", "visited"]
     both = held.select(*columns).unionAll(asks.select(*columns))
     found = written(both.groupBy("at", "mb", "qb").applyInPandas(_compare(cosine), "a long, b long, links long"), "found")

@@ -62,3 +62,18 @@ def test_visits_are_the_nearest_cells():
     places = index.ranks(u)
     for row, cells in enumerate(index.nearest(u)):
         assert sorted(places[row, cells]) == list(range(11)) and places[row, cells[0]] == 0
+
+
+def test_rare_links_at_the_least_cosine_are_found(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = r.normal(size=(40, 64))
+    side -= (side * x[:40]).sum(axis=1)[:, None] * x[:40]
+    c = 0.905
+    x[100:140] = c * x[:40] + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1)[:, None]
+    rows = [(i, [float(np.float32(e)) for e in v]) for i, v in enumerate(x)]
+    got = {g["vec_id"]: g for g in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    found = [i for i in range(40) if got[100 + i]["component_id"] == i and got[i]["n_links"] == got[100 + i]["n_links"] == 1]
+    assert len(found) >= 38
+    assert sum(g["n_links"] for g in got.values()) == 2 * len(found)
