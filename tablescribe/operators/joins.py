@@ -42,12 +42,38 @@ def nearest(points: DataFrame, at: str, centres: list[float], reject: float) ->
     return points.withColumn("nearest", F.when(best["d"] <= reject, best["i"]))
 
 
-def nearest_word(words: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame:
-    """words (word) with the vocabulary word of the same first letter within `most` edits: fewest edits, then the smaller."""
-    w = words.select("word").distinct().withColumn("__k", F.substring("word", 1, 1)).withColumn("__n", F.length("word"))
-    v = vocabulary.select(F.col("word").alias("other")).distinct().withColumn("__k", F.substring("other", 1, 1))
-    v = v.withColumn("__n", F.explode(F.sequence(F.length("other") - most, F.length("other") + most)))
-    pairs = w.join(v, ["__k", "__n"]).where(F.col("word") != F.col("other")).withColumn("edits", F.levenshtein("word", "other", most)).where("edits >= 0")
+def _pieces(word: str, most: int, probe: bool) -> Column:
+    """Keys (n, i, piece) of which two words within `most` edits share one, one of them as a probe.
+
+    A word of n letters is cut into most + 1 pieces; `most` edits leave one of them as it is, moved by `most` at most.
+    """
+    n = F.length(word)
+    numbers = lambda lo, hi: F.array(*[F.lit(i) for i in range(lo, hi + 1)])
+    start = lambda size, i: F.floor(size * i / (most + 1)).cast("int")
+
+    def key(size: Column, i: Column, move: Column) -> Column:
+        width = start(size, i + 1) - start(size, i)
+        at = start(size, i) + move
+        inside = (size >= 0) & (at >= 0) & (at + width <= n)
+        return F.when(inside, F.struct(size.alias("n"), i.alias("i"), F.substring(F.col(word), at + 1, width).alias("piece")))
+
+    if not probe:
+        return F.transform(numbers(0, most), lambda i: key(n, i, F.lit(0)))
+    moved = lambda d: F.flatten(F.transform(numbers(0, most), lambda i: F.transform(numbers(-most, most), lambda m: key(n + d, i, m))))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(numbers(-most, most), moved))))
+
+
+def nearest_word(words: DataFrame, vocabulary: DataFrame, most: int, initial: bool = False) -> DataFrame:
+    """words (word) with the vocabulary word within `most` edits: fewest edits, then the smaller.
+
+    The whole vocabulary is compared, or with `initial` the words of the same first letter.
+    """
+    w = words.select("word").distinct().select("word", F.inline(_pieces("word", most, True)))
+    v = vocabulary.select(F.col("word").alias("other")).distinct().select("other", F.inline(_pieces("other", most, False)))
+    pairs = w.join(v, ["n", "i", "piece"]).where(F.col("word") != F.col("other"))
+    if initial:
+        pairs = pairs.where(F.substring("word", 1, 1) == F.substring("other", 1, 1))
+    pairs = pairs.select("word", "other").distinct().withColumn("edits", F.levenshtein("word", "other", most)).where("edits >= 0")
     return pairs.groupBy("word").agg(F.min(F.struct("edits", "other")).alias("b")).select("word", F.col("b.other").alias("nearest"), F.col("b.edits").alias("edits"))
 
 

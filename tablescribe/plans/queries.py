@@ -252,7 +252,7 @@ SELECT word, other AS nearest, CAST(e AS INTEGER) AS edits FROM p WHERE e <= 3 Q
 def nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     words = parts.select(F.explode(F.split("p_name", " ")).alias("word")).unionAll(parts.select(F.lower("p_type"))).distinct()
-    return joins.nearest_word(words, words, 3)
+    return joins.nearest_word(words, words, 3, initial=True)  # as its SQL has it
 
 
 @query("""

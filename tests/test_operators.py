@@ -45,3 +45,26 @@ def test_bucketed_joins_equal_nested_loops(spark):
 def test_nearest(spark):
     got = joins.nearest(spark.createDataFrame([(0.0,), (5.0,), (99.0,), (None,)], "v double"), "v", [0.0, 10.0], 20.0).collect()
     assert [r["nearest"] for r in got] == [0, 0, None, None]
+
+
+def test_nearest_word_compares_with_the_whole_vocabulary(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(8)
+    words = {"old", "cold", "bolt", "blue", "", "é", "gear", "bear"} | {"".join(r.choice("abc") for _ in range(r.randint(1, 14))) for _ in range(150)}
+    table = spark.createDataFrame([(w,) for w in [*sorted(words), None, "old"]], "word string")
+    for most in (1, 3):
+        for initial in (False, True):
+            want = {}
+            for a in words:
+                near = [(e, b) for b in words if b != a and (not initial or a[:1] == b[:1]) and (e := edits(a, b)) <= most]
+                if near:
+                    want[a] = min(near)
+            got = joins.nearest_word(table, table, most, initial).collect()
+            assert len(got) == len(want) and {g["word"]: (g["edits"], g["nearest"]) for g in got} == want
