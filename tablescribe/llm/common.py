@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +19,47 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is missing, as in local tests, a temporary folder is made and the setting filled in.
+    Where the setting is missing, a local session gets a temporary folder and the setting filled in; on a cluster
+    that is an error, since executors wouldn't see the driver's folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tablescribe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tablescribe-{uuid.uuid4().hex}"
 
 
+#: Tables that written() has made inside of `with tables_of(owner)`, by owner.
+_TABLES: dict[str, list[str]] = {}
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession)
+    if owner := _owner.get():
+        _TABLES.setdefault(owner, []).append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def tables_of(owner: str) -> Iterator[None]:
+    """Tables written inside belong to owner, until drop_tables."""
+    before = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+
+
+def drop_tables(spark: SparkSession, owner: str) -> None:
+    """Deletes the tables of owner. Results that read them must have been written before."""
+    for folder in _TABLES.pop(owner, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_of_id(doc_id: str | Column) -> Column:

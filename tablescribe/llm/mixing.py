@@ -88,21 +88,24 @@ def mix(
     table gives an empty result. Columns of docs other than those named are ignored.
     """
     h = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string")))
-    sized = written(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h"), *[F.struct(*docs.columns).alias("doc")] * whole_rows), "sized")
+    whole_docs = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] * whole_rows
+    of_docs = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h"), *whole_docs)
+    sized = written(of_docs.drop("doc"), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     totals = written(totals.withColumn("shards", F.ceil(F.col("rows") / shard_rows)), "sources")
     aims = targets(totals.select("source", "source_size"), weights, share, cap)
     seats = aims.withColumn("all", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5)).withColumn("g", F.lit(0))
     aims = written(apportion(seats, ["g"], ["source"], "target", "all").select(F.col("source").alias("s"), "source_size", "target", F.col("quota").alias("source_quota")), "aims")
-    sharded = sized.join(totals.select(F.col("source").alias("s"), "shards"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", _number("h") % F.col("shards"))
-    shards = sharded.groupBy("source", "shard").agg(F.sum("size").alias("shard_words")).join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    shard_counts = totals.select(F.col("source").alias("s"), "shards")
+    sharded = lambda rows: rows.join(shard_counts, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", _number("h") % F.col("shards"))
+    shards = sharded(sized).groupBy("source", "shard").agg(F.sum("size").alias("shard_words")).join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     shards = apportion(shards, ["source"], ["shard"], "shard_words", "source_quota")
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("shard_words") / block)).cast("long")
     shards = shards.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.col("blocks") * cap))
     shards = shards.withColumn("whole", F.floor(F.col("quota") / F.col("blocks"))).withColumn("rest", F.col("quota") % F.col("blocks"))
     spin = _number(F.md5(F.concat_ws("/", F.lit(f"{seed} spin"), F.coalesce("source", F.lit("")), F.col("shard").cast("string"))))
     shards = written(shards.withColumn("offset", spin % F.col("blocks")).withColumnsRenamed({"source": "s", "shard": "d"}).drop("source_quota", "quota"), "shards")
-    placed = sharded.withColumn("last", F.sum("size").over(Window.partitionBy("source", "shard").orderBy("h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = sharded(of_docs if whole_rows else sized).withColumn("last", F.sum("size").over(Window.partitionBy("source", "shard").orderBy("h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("first", F.col("last") - F.col("size"))
     joined = placed.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("d")))
     extra = extra_before(F.col("last"), block) - extra_before(F.col("first"), block)

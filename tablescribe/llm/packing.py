@@ -1,29 +1,24 @@
 """Packing token ids into fixed windows by non-negative least squares over length combinations.
 
-Whole windows of a document are sequences of their own. Its remainder, shorter than a window, is packed by the
-histogram of remainder lengths, which has window - 1 bins whatever the input: shallow combinations (pairs and
-triples) that fill a window exactly are laid out, non-negative least squares finds how often to repeat each
-so that the histogram is used up, and the counts are rounded as far as the histogram goes. What is left is packed
-greedily, longest first, one piece after the other, cut where a sequence is full; so only the very last
-sequence is padded, and documents are cut twice at most.
-
-Only the histogram and the plan (a bounded number of rows) pass through the driver. A document finds its place by its
-number among the documents with its length: counts per task and length, summed up over the tasks, and a
-row number within each.
+Documents are packed in blocks: each task encodes its documents one after the other and packs them whenever it holds
+`block` ids, so memory is bounded, ids are neither stored nor shuffled, and nothing passes through the driver. Whole
+windows of a document are sequences of their own. The remainders, shorter than a window, are packed by the histogram
+of their lengths: shallow combinations (pairs and triples) that fill a window exactly are laid out,
+non-negative least squares finds how often to repeat each so that the histogram is used up, and the counts are
+rounded as far as the histogram goes. What is left is packed greedily, longest first, one piece after the other, cut where
+a sequence is full; so only the last sequence of a block is padded, and documents are cut twice at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescribe.llm.common import written
 from tablescribe.llm.tokens import crc32_of, word_ids
 
 
@@ -42,7 +37,7 @@ def combinations(window: int, splits: int = 8) -> np.ndarray:
     return np.unique(np.sort(np.concatenate(rows), axis=1), axis=0)
 
 
-def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 3000) -> np.ndarray:
+def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """x >= 0 that makes A x closest to target, A's column j counting the lengths in row j of columns (0: none).
 
     Accelerated projected gradient; A has at most three entries a column and is never laid out.
@@ -69,112 +64,94 @@ def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 3000) -> np.ndar
     return x
 
 
-@dataclass
-class Plan:
-    """places: (bin, from, to, sequence, offset): the documents with numbers from .. to - 1 among those with
-    remainder `bin` go to sequence + number - from. rest: (bin, from, position): later ones lie one after the
-    other from that position of the tail on, which starts at sequence `tail`. full: first free sequence."""
-
-    places: list[tuple[int, int, int, int, int]]
-    rest: list[tuple[int, int, int]]
-    tail: int
-    full: int
-
-
-def plan(histogram: dict[int, int], window: int) -> Plan:
-    left = np.zeros(window + 1, np.int64)
-    for k, n in histogram.items():
-        left[k] = n
-    whole = left.copy()
+def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where pieces shorter than the window go: sequence and offset of each, and how many sequences there are. A
+    piece that reaches beyond its sequence goes on at the start of the next one."""
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    n = np.bincount(lengths, minlength=window + 1)[: window + 1]
+    first = np.cumsum(n) - n  # of each length, in order
+    left, used = n.copy(), 0
     columns = combinations(window)
     columns = columns[((columns == 0) | (left[columns] > 0)).all(axis=1)]
-    places, sequence = [], 0
     if len(columns):
         x = nnls(columns, left[:window])
         for j in np.argsort(-x, kind="stable"):
-            lengths = [int(v) for v in columns[j] if v]
-            need = {v: lengths.count(v) for v in lengths}
-            times = min(int(x[j] + 0.5), *(int(left[v]) // k for v, k in need.items()))
-            if times <= 0:
-                continue
-            offset = 0
-            for v in lengths:
-                first = int(whole[v] - left[v])
-                places.append((v, first, first + times, sequence, offset))
+            if x[j] < 0.5:
+                break
+            parts = [int(v) for v in columns[j] if v]
+            times = min(int(x[j] + 0.5), *(int(left[v]) // parts.count(v) for v in parts))
+            at = 0
+            for v in parts if times else []:
+                here = order[first[v] + n[v] - left[v] :][:times]
+                sequence[here], offset[here] = np.arange(used, used + times), at
                 left[v] -= times
-                offset += v
-            sequence += times
-    rest, position = [], 0
-    for v in range(window - 1, 0, -1):
-        if left[v]:
-            rest.append((v, int(whole[v] - left[v]), position))
-            position += int(left[v]) * v
-    return Plan(places, rest, sequence, sequence - (-position // window))
-
-
-def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, task, row = word_ids(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], ids_of.type).tobytes()
-        for b in batches:
-            ids = [ids_of.of(t) + end for t in b["text"]]
-            yield pd.DataFrame({"task": task, "row": np.arange(row, row + len(ids)), "id": b["id"], "ids": ids, "n": [len(x) // ids_of.type.itemsize for x in ids]})
-            row += len(ids)
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(of, f"task long, row long, id {kind}, ids binary, n long")
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                at += v
+            used += times
+    rest = np.concatenate([order[first[v] + n[v] - left[v] : first[v] + n[v]] for v in range(window - 1, 0, -1) if left[v]] or [order[:0]])
+    position = np.cumsum(lengths[rest]) - lengths[rest]
+    sequence[rest], offset[rest] = used + position // window, position % window
+    return sequence, offset, used + int(-(-lengths[rest].sum() // window))
+
+
+def pack_block(sizes: np.ndarray, window: int) -> tuple[pd.DataFrame, int]:
+    """Pieces (doc, start, length, sequence, offset) of documents with so many ids each, and how many sequences they fill."""
+    doc = np.arange(len(sizes))
+    whole, rest = sizes // window, sizes % window
+    short = np.flatnonzero(rest)
+    sequence, offset, used = place(rest[short], window)
+    room = np.minimum(rest[short], window - offset)
+    parts = [pd.DataFrame({"doc": short, "start": sizes[short] - rest[short], "length": room, "sequence": sequence, "offset": offset})]
+    cut = room < rest[short]
+    parts.append(pd.DataFrame({"doc": short[cut], "start": (sizes[short] - rest[short] + room)[cut], "length": (rest[short] - room)[cut], "sequence": sequence[cut] + 1, "offset": 0}))
+    full = np.repeat(doc, whole)
+    nth = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
+    parts.append(pd.DataFrame({"doc": full, "start": nth * window, "length": window, "sequence": used + np.arange(len(full)), "offset": 0}))
+    return pd.concat(parts, ignore_index=True).sort_values(["doc", "start"], ignore_index=True), used + len(full)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block: int = 1 << 24) -> DataFrame:
     """A row per piece: id, start (ids of its document before it), length, ids_crc32, doc_tokens, sequence_id,
     offset (where the piece starts in its sequence), and with_ids the ids as little-endian bytes.
 
-    Null texts are empty: their one id, the end, is a document. Each row is a document of its own, also if it repeats
-    another's id. Other columns of docs are ignored. An empty table gives an empty result.
+    sequence_id holds the task in its upper bits and the sequence's number there in the lower 33. Null texts are empty: their one
+    id, the end, is a document. Each row is a document of its own, also if it repeats another's id. A document
+    longer than a block is a block of its own. Other columns of docs are ignored. An empty table gives an empty result.
     """
     if window < 4:
         raise ValueError("window must be 4 or more")
-    spark = docs.sparkSession
-    table = written(_tokenized(docs, tokenizer, end_id, id_col, text_col), "ids")
-    sizes = table.select("task", "row", (F.col("n") % window).alias("bin"), F.floor(F.col("n") / window).alias("whole"))
-    by_task = written(sizes.groupBy("bin", "task").agg(F.count("*").alias("docs")), "counts")
-    made = plan({r["bin"]: r["n"] for r in by_task.where("bin > 0").groupBy("bin").agg(F.sum("docs").alias("n")).collect()}, window)
-
-    earlier = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = by_task.select("bin", "task", earlier("docs", "bin").alias("first"))
-    full_of_task = sizes.groupBy("task").agg(F.sum("whole").alias("w")).select("task", earlier("w").alias("full_first"))
-    in_task = Window.partitionBy("task").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    number = F.row_number().over(Window.partitionBy("task", "bin").orderBy("row")) - 1
-    numbered = sizes.withColumn("number", number).withColumn("full_in", F.coalesce(F.sum("whole").over(in_task), F.lit(0)))
-    numbered = numbered.join(starts, ["bin", "task"]).join(full_of_task, "task")
-    numbered = numbered.select("task", "row", "bin", (F.col("number") + F.col("first")).alias("number"), (F.lit(made.full) + F.col("full_first") + F.col("full_in")).alias("full_sequence"))
-    # at most three rows for each combination and one for each length: a few 10,000 whatever the input
-    lookup = [(b, i, j, s, o, False) for b, i, j, s, o in made.places] + [(b, i, 1 << 62, p, 0, True) for b, i, p in made.rest]
-    places = spark.createDataFrame(lookup, "b long, i long, j long, s long, o long, tail boolean")
-    placed = numbered.join(F.broadcast(places), (F.col("bin") == F.col("b")) & (F.col("number") >= F.col("i")) & (F.col("number") < F.col("j")), "left")
-    position = F.col("s") + (F.col("number") - F.col("i")) * F.col("bin")
-    placed = placed.select(
-        "task", "row", "full_sequence",
-        F.when(F.col("tail"), F.lit(made.tail) + F.floor(position / window)).otherwise(F.col("s") + F.col("number") - F.col("i")).alias("sequence"),
-        F.when(F.col("tail"), position % window).otherwise(F.col("o")).alias("offset"),
-    )
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = word_ids(tokenizer).type
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids_of, sequences = word_ids(tokenizer), TaskContext.get().partitionId() << 33
+        end = np.array([end_id], ids_of.type).tobytes()
+        names_held, held, size = [], [], 0
+
+        def done() -> Iterator[pd.DataFrame]:
+            nonlocal sequences
+            sizes = np.array([len(x) for x in held], np.int64)
+            pieces, used = pack_block(sizes, window)
+            for i in range(0, len(pieces), 20_000):
+                p = pieces.iloc[i : i + 20_000]
+                parts = [held[d][s : s + n] for d, s, n in zip(p["doc"], p["start"], p["length"])]
+                out = p[["start", "length", "offset"]].assign(
+                    id=pd.Series(names_held, dtype=object).iloc[p["doc"]].to_numpy(), ids_crc32=[crc32_of(x) for x in parts], doc_tokens=sizes[p["doc"]], sequence_id=p["sequence"] + sequences
+                )
+                yield (out.assign(ids=[x.astype("<u4").tobytes() for x in parts]) if with_ids else out)[names]
+            sequences += used
+            names_held.clear()
+            held.clear()
+
         for b in batches:
-            out = []
-            for doc, raw, full, sequence, offset in zip(b["id"], b["ids"], b["full_sequence"], b["sequence"], b["offset"]):
-                ids = np.frombuffer(raw, kind).astype("<u4")
-                n, rest = len(ids), len(ids) // window * window
-                pieces = [(s, window, int(full) + s // window, 0) for s in range(0, rest, window)]
-                if n > rest:
-                    room = min(n - rest, window - int(offset))
-                    pieces.append((rest, room, int(sequence), int(offset)))
-                    if room < n - rest:
-                        pieces.append((rest + room, n - rest - room, int(sequence) + 1, 0))
-                out += [(doc, s, k, crc32_of(ids[s : s + k]), n, q, o, *([ids[s : s + k].tobytes()] if with_ids else [])) for s, k, q, o in pieces]
-            yield pd.DataFrame(out, columns=names)
+            for doc, text in zip(b["id"].astype(object), b["text"]):
+                held.append(np.frombuffer(ids_of.of(text) + end, ids_of.type))
+                names_held.append(None if pd.isna(doc) else doc)
+                size += len(held[-1])
+                if size >= block:
+                    yield from done()
+                    size = 0
+        if held:
+            yield from done()
 
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     schema = f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} long" for c in names[1:7]) + ", ids binary" * with_ids
-    return table.select("task", "row", "id", "ids").join(placed, ["task", "row"]).select("id", "ids", "full_sequence", "sequence", "offset").mapInPandas(cut, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(of, schema).withColumnRenamed("id", id_col)

@@ -93,7 +93,8 @@ class Level:
         sums = lambda x: np.stack([np.bincount(at, weights=v, minlength=len(context)) for v in x])
         discount = np.array([_discount(v) for v in n])
         lost = np.minimum(n, discount[:, None])
-        return cls(gram, n, at, sums(n), sums(lost), discount)
+        small = np.float32  # goes to every worker
+        return cls(gram, n.astype(small), at.astype(np.int32), sums(n).astype(small), sums(lost).astype(small), discount.astype(small))
 
     def step(self, key: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Probabilities (ordinary, toxic, both) of the keys' last bytes, from those with a context shorter by one.
@@ -219,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, fold, per_class: int = 600
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     sample = labelled_sample(docs, known, per_class, id_col, text_col)
     learn, calibrate = sample.where(~fold(F.col("id"))), sample.where(fold(F.col("id")))
-    words = learn.select("text", "toxic").mapInPandas(_words, "w binary, o long, t long").groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).toPandas().sort_values("w")
-    model = Model(levels_of([bytes(w) for w in words["w"]], words[["o", "t"]].to_numpy(np.int64).T, order), order)
+    words = learn.select("text", "toxic").mapInPandas(_words, "w binary, o long, t long").groupBy("w").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).toArrow()
+    model = Model(levels_of(words["w"].to_pylist(), np.stack([words[c].to_numpy() for c in "ot"]), order), order)
     model.curve = _curve(model, calibrate, {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()})
     return model
 
