@@ -2,14 +2,21 @@
 
 Toxic documents go, one document of each group of near-duplicates stays, secrets are masked, sources are mixed to
 their target weights, and the mix is packed into windows of token ids.
+
+Null and empty texts are documents without words: they stay (one of them, after near-duplicates), take no part in the mix,
+and so aren't packed. A null id is an id, a null source a source. Rows that share id and text become one row. Columns
+besides doc_id, text, source and n_chars pass through, whatever their names. An empty table stays empty in all stages.
+A stage's result must be written before the next stage runs: that one removes the tables the former worked with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescribe.llm import mixing, packing, secret_scan, simhash, toxicity
-from tablescribe.llm.common import written
+from tablescribe.llm.common import drop_tables, tables_of, written
 from tablescribe.llm.queries import TOKENIZER
 
 
@@ -20,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their SimHash fingerprints, the one with the smallest id."""
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -39,12 +46,27 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs, TOKENIZER, end_id=1, window=2048)
 
 
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_duplicates", drop_near_duplicates),
-    ("secret_scan", mask_secrets),
-    ("source_mixing", mix_sources),
-    ("packing", pack_windows),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _after(earlier: str | None, name: str, stage: Stage) -> tuple[str, Stage]:
+    """The stage under its name; it starts by removing the working tables of the earlier one."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if earlier:
+            drop_tables(spark, earlier)
+        with tables_of(name):
+            return stage(spark, docs, sf_dir)
+
+    return name, run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    _after(None, "toxicity", drop_toxic),
+    _after("toxicity", "simhash_near_duplicates", drop_near_duplicates),
+    _after("simhash_near_duplicates", "secret_scan", mask_secrets),
+    _after("secret_scan", "source_mixing", mix_sources),
+    _after("source_mixing", "packing", pack_windows),
 ]
 
 #: No stage but the mixing can be said in SQL; tests hold the pipeline against brute force.
