@@ -7,9 +7,11 @@ symbols already tried excluded, and at last to all bytes evenly. Those probabili
 (context, byte), so that scoring is a walk along arrays. The code length of a text, with an end symbol, is
 added up per document.
 
-The table of probabilities has a row per longest context. `max_contexts` bounds it (and so what each
-worker holds); if the corpus has more contexts of `order` bytes, the order is lowered until they fit, which order 1
-always does. Counts cover all training texts at any size.
+The order is the same at any size, and so are the scores; only the way to the probabilities follows the size. Up to
+`max_contexts` contexts of `order` bytes, each worker holds all of them. Beyond that the counts stay a table:
+they are dealt out by the last bytes of the context, each group works out the probabilities of the strings that
+the texts ask for, and these are joined to blocks of texts, which add them up. What must be known
+everywhere then, counts after contexts shorter by two bytes or more, has 256 ** (order - 1) rows at most.
 
 The base score is a smoothed word unigram model. The most frequent `head` words, a fixed number, go to the
 workers; all other words are joined with the counts.
@@ -117,28 +119,48 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Trie:
     """PPM's probabilities for every context known and every byte, as log10."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int) -> None:
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, lower: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """lower: counts after contexts of order - 2 bytes, if grams are a part of all that has every context of
+        order - 1 bytes either whole or not at all."""
         self.order = order
-        symbols = np.unique(grams & np.uint64(255)).astype(np.int64)
+        every = grams if lower is None else lower[0]
+        symbols = np.unique(every & np.uint64(255)).astype(np.int64)
         pads = np.unique(np.concatenate([symbols, [_EDGE]]))  # contexts may hold the edge even if no text is known
         self.size = len(pads) + 1  # and one for bytes never seen
         self.symbol = np.full(256, len(pads), np.int64)
         self.symbol[pads] = np.arange(len(pads))
-        # digits in base `size`: a context of j symbols is a number below size ** j
-        digits = np.stack([self.symbol[((grams >> np.uint64(8 * (order - j))) & np.uint64(255)).astype(np.int64)] for j in range(order + 1)]) if len(grams) else np.zeros((order + 1, 0), np.int64)
-        tables, names = [], []
+        tables, self.names = [], []
         for j in range(order + 1):  # contexts of the last j bytes, and how often each byte follows them
-            name = np.zeros(len(counts), np.int64)
-            for d in digits[order - j : order]:
-                name = name * self.size + d
+            source, n = (grams, counts) if lower is None or j > order - 2 else lower
+            name = self._names(source, j)
             known, row = np.unique(name, return_inverse=True)
             table = np.zeros((max(1, len(known)), self.size))
-            np.add.at(table, (row, digits[order]), counts)
+            np.add.at(table, (row, self._digit(source, 0)), n)
             tables.append(table)
-            names.append(known if len(known) else np.zeros(1, np.int64))
-        self.logs = [self._level(j, tables, names) for j in range(order + 1)]
-        self.steps = self._walks(names)
-        self.names = names
+            self.names.append(known if len(known) else np.zeros(1, np.int64))
+        self.logs = [self._level(j, tables, self.names) for j in range(order + 1)]
+        self.steps = self._walks(self.names) if lower is None else []
+
+    def _digit(self, grams: np.ndarray, back: int) -> np.ndarray:
+        return self.symbol[((grams >> np.uint64(8 * back)) & np.uint64(255)).astype(np.int64)]
+
+    def _names(self, grams: np.ndarray, j: int) -> np.ndarray:
+        """The last j bytes of the contexts as numbers to the base `size`."""
+        name = np.zeros(len(grams), np.int64)
+        for back in range(j, 0, -1):
+            name = name * self.size + self._digit(grams, back)
+        return name
+
+    def values(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram after the bytes before it."""
+        out, left, last = np.zeros(len(grams)), np.arange(len(grams)), self._digit(grams, 0)
+        for j in range(self.order, -1, -1):
+            name = self._names(grams[left], j)
+            row = np.minimum(np.searchsorted(self.names[j], name), len(self.names[j]) - 1)
+            hit = self.names[j][row] == name if j else np.ones(len(left), bool)
+            out[left[hit]] = self.logs[j][row[hit], last[left[hit]]]
+            left = left[~hit]
+        return out
 
     def _level(self, j: int, tables: list[np.ndarray], names: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(tables[j].shape, np.float32)
@@ -212,15 +234,62 @@ def load_trie(path: str, order: int) -> Trie:
     return Trie(grams[by], counts[by].astype(float), order)
 
 
-def train(docs: DataFrame, order: int = 4, max_contexts: int = 1 << 18) -> tuple[str, int]:
-    """Counts over docs (text), written to the shared folder: their path and the order that fits."""
-    grams = written(count_grams(docs, order), "grams")
-    while order > 1 and grams.select(F.shiftrightunsigned("gram", 8).alias("c")).distinct().count() > max_contexts:
-        order -= 1
-        grams = written(grams.select(F.col("gram").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    path = f"{shared_folder(docs.sparkSession)}/trie"
-    grams.write.parquet(path)
-    return path, order
+def _of_texts(data: np.ndarray, starts: np.ndarray, texts: list[bytes], order: int, values) -> np.ndarray:
+    """Sums over the grams of each text of values(grams)."""
+    value = values(_grams(data, order, starts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    total = np.concatenate(([0.0], np.cumsum(value)))
+    return total[ends] - total[ends - [len(t) + 1 for t in texts]]
+
+
+def shuffled_scores(docs: DataFrame, grams: DataFrame, order: int, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs (row, text) -> (row, score): log10 probabilities from counts (gram, n) that no worker holds whole."""
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    low = (1 << (8 * (order - 1))) - 1
+    counts = grams.groupBy(F.col("gram").bitwiseAND(F.lit(low)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    lower = spark.sparkContext.broadcast((counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy().astype(float)))
+
+    def asked(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [np.unique(_grams(*_swapped(texts, order))) for texts in _groups(pdf["text"])]
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "gram": np.unique(np.concatenate(found)).view(np.int64)})
+
+    questions = written(blocked.groupBy("block").applyInPandas(asked, "block long, gram long"), "questions")
+    shards = max(1, grams.count() // 100_000)
+    shard = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(low))), F.lit(shards)).alias("shard")
+
+    def answer(known: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        known, want = known.sort_values("gram"), ask["gram"].to_numpy()
+        trie = Trie(known["gram"].to_numpy().view(np.uint64), known["n"].to_numpy().astype(float), order, lower.value)
+        return pd.DataFrame({"gram": want, "value": trie.values(want.view(np.uint64))})
+
+    known, ask = grams.select(shard, "gram", "n"), questions.select("gram").distinct().select(shard, "gram")
+    answers = known.groupBy("shard").cogroup(ask.groupBy("shard")).applyInPandas(answer, "gram long, value double")
+    answered = questions.join(answers, "gram")
+
+    def add(texts_of: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.assign(g=table["gram"].to_numpy().view(np.uint64)).sort_values("g")
+        gram, value, out = table["g"].to_numpy(), table["value"].to_numpy(), []
+        for texts in _groups(texts_of["text"]):
+            data, starts = _padded(texts, order)
+            out.append(_of_texts(data, starts, texts, order, lambda g: value[np.searchsorted(gram, g)]))
+        return pd.DataFrame({"row": texts_of["row"], "score": np.concatenate(out)})
+
+    return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(add, "row long, score double")
+
+
+def _swapped(texts: list[bytes], order: int) -> tuple[np.ndarray, int, np.ndarray]:
+    data, starts = _padded(texts, order)
+    return data, order, starts
+
+
+def train(docs: DataFrame, order: int = 4) -> tuple[str, DataFrame]:
+    """Counts over docs (text), written to the shared folder: their path and the table."""
+    path = f"{shared_folder(docs.sparkSession)}/grams"
+    count_grams(docs, order).write.parquet(path)
+    return path, docs.sparkSession.read.schema("gram long, n long").parquet(path)
 
 
 def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 4, max_contexts: int = 1 << 18, head: int = 1 << 18) -> DataFrame:
@@ -230,13 +299,16 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     0). score is the log10 probability of the text, A-Z lowered, and its end under PPM; base_score that of its
     words and an end under the unigram model with 0.1 added to every count. Null texts are empty: only the end is
     scored. A null id counts as the empty text in the crc. Repeated rows train and are scored as often as they stand
-    there. Without training rows every byte is equally likely. Other columns are ignored.
+    there. Without training rows every byte is equally likely. Texts of any length are scored whole. Other columns are ignored. An
+    empty table gives an empty result. max_contexts (contexts that workers hold) and head (words that they hold) don't change
+    the result.
     """
     spark = docs.sparkSession
     held = crc32_of_id(id_col) % 10 == 0 if held_out is None else held_out
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     training = mine.where(~F.col("held_out"))
-    path, fits = train(training, order, max_contexts)
+    path, grams = train(training, order)
+    fits = order == 1 or grams.select(F.shiftrightunsigned("gram", 8).alias("c")).distinct().count() <= max_contexts
     words = written(count_words(training), "words")
     ends = training.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -254,7 +326,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     end = math.log10(ends + 0.1)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, log, task, row = load_trie(path, fits), frequent.value.get, TaskContext.get().partitionId(), 0
+        trie, log, task, row = load_trie(path, order) if fits else None, frequent.value.get, TaskContext.get().partitionId(), 0
         for b in batches:
             first = 0
             for texts in _groups(b["text"]):
@@ -270,14 +342,18 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
                         rare.append([])
                     out.append((len(found) + 1, len(logs) + (ends > 0), math.fsum(logs) + end))
                 part = b.iloc[first : first + len(texts)]
-                yield pd.DataFrame(out, columns=["n_tokens", "known", "logs"]).assign(task=task, row=np.arange(row, row + len(texts)), id=part["id"].to_numpy(), held_out=part["held_out"].to_numpy(), score=trie.score(texts), rare=rare)
+                yield pd.DataFrame(out, columns=["n_tokens", "known", "logs"]).assign(task=task, row=np.arange(row, row + len(texts)), id=part["id"].to_numpy(), held_out=part["held_out"].to_numpy(), score=trie.score(texts) if trie else 0.0, rare=rare, text=None if trie else [t.decode() for t in texts])
                 first, row = first + len(texts), row + len(texts)
 
     kind = dict(docs.dtypes)[id_col]
-    scored = written(mine.mapInPandas(of, f"task long, row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: binary, times: long>>"), "scored")
+    scored = written(mine.mapInPandas(of, f"task long, row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: binary, times: long>>, text string"), "scored")
+    if not fits:
+        place = F.shiftleft("task", 33).bitwiseOR(F.col("row")).alias("row")
+        found = written(shuffled_scores(scored.select(place, "text"), grams, order), "found").select(F.shiftright("row", 33).alias("task"), F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "score")
+        scored = scored.drop("score").join(found, ["task", "row"])
     rest = scored.select("task", "row", F.inline("rare")).join(words, "w", "left")
     rest = rest.groupBy("task", "row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs2"))
-    both = scored.drop("rare").join(rest, ["task", "row"], "left")
+    both = scored.drop("rare", "text").join(rest, ["task", "row"], "left")
     return both.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("logs2", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",

@@ -65,16 +65,56 @@ def test_links_are_all_pairs_within_the_distance(spark):
         assert sorted((x["a"], x["b"]) for x in got) == want
 
 
-def test_keep_one_keeps_columns_and_one_row_of_each_group(docs, nothing, texts):
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return 1.0 if sets[0] == sets[1] else len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(r, words, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = r.choice(words)
+    return " ".join(w)
+
+
+def test_keep_one_keeps_one_row_of_each_group_of_near_copies(spark, nothing, texts, words):
+    r, rows = random.Random(9), list(texts)
+    for i in range(25):  # near copies on either side of the limit
+        base = " ".join(r.choice(words) for _ in range(200))
+        rows += [(1000 + 10 * i, base)] + [(1001 + 10 * i + k, edited(r, words, base, n)) for k, n in enumerate((1, 2, 3, 8, 16))]
+    base = " ".join(r.choice(words) for _ in range(150))
+    rows += [(3000 + i, edited(r, words, base, 2)) for i in range(60)]  # one large group
+    docs = spark.createDataFrame([(i, t, 1, "x", 5) for i, t in rows], "doc_id long, text string, __row int, row string, node long")
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    root = union(range(len(rows)), near)
+    groups = defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        groups[root[k]].append((i is not None, i or 0, t))
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    rows = kept.collect()
-    groups = simhash.near_duplicates(docs).select("fp", "component_id").groupBy("component_id").count().count()
-    assert len(rows) == groups
-    assert sum(r["doc_id"] in (3, 46, 47) for r in rows) == 1
+    got = kept.collect()
+    want = [min(g[:2] for g in v) for v in groups.values()]
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == sorted(want)
     assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+def test_chains_find_pairs_at_the_limit():
+    """The share of pairs at a similarity of 0.8 with a common chain, and within the Hamming bound."""
+    r, hits, near, n = random.Random(2), 0, 0, 300
+    for _ in range(n):
+        same = [r.getrandbits(40) for _ in range(160)]
+        a, b = (" ".join(str(x) for x in same + [r.getrandbits(40) for _ in range(20)]) for _ in range(2))
+        fa, fb = (simhash.long_fingerprint(t, 1, 32).view("uint64") for t in (a, b))
+        bits = [int(x) ^ int(y) for x, y in zip(fa, fb)]
+        apart = [sum(bits[p // 64] >> p % 64 & 1 for p in range(k * 11, k * 11 + 11)) for k in range(186)]
+        hits += any(apart[k] == 0 == apart[(k + 1) % 186] for k in range(186))
+        near += sum(x.bit_count() for x in bits) <= simhash.bits_apart(0.8, 32)
+    assert hits >= 0.97 * n and near >= 0.99 * n
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
