@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The currency marks, units and token patterns of the formats that are recognised.
-CURRENCY = r"(?:[$€£¥₹৳]|USD|EUR|GBP|INR|BDT|AUD|CAD|SGD|AED|JPY|Tk|Rs)"
-UNITS = "(?:pcs|pc|nos|no|units?|box(?:es)?|pkt|kg|gm?|ml|l|ea)"
-MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+# The token patterns of the formats that are recognised, each as a whole.
+CURRENCY = "[$€£¥₹৳]|(?:USD|EUR|GBP|INR|BDT|AUD|CAD|SGD|AED|JPY|Tk|Rs)"
 PERCENT = r"^-?\d+(?:[.,]\d+)?\s*%$"
-MONEY = rf"(?i)^{CURRENCY}?\s*-?\(?\d{{1,3}}(?:[ ,]\d{{3}})*[.,]\d{{2}}\)?\s*{CURRENCY}?$"
-MONEY_LOOSE = rf"(?i)^{CURRENCY}\s*-?[\d ,.]+$"
-DATE = rf"(?i)^(?:\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{2,4}}|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}\s*[-/]?\s*{MONTHS}[a-z]*\.?\s*[-/,]?\s*\d{{2,4}})$"
-INT = rf"(?i)^-?\d{{1,6}}(?:\.0+)?\s*{UNITS}?$"
+MONEY = r"(?i)^(?:[$€£¥₹৳]|(?:USD|EUR|GBP|INR|BDT|AUD|CAD|SGD|AED|JPY|Tk|Rs))?\s*-?\(?\d{1,3}(?:[ ,]\d{3})*[.,]\d{2}\)?\s*(?:[$€£¥₹৳]|(?:USD|EUR|GBP|INR|BDT|AUD|CAD|SGD|AED|JPY|Tk|Rs))?$"
+MONEY_LOOSE = r"(?i)^(?:[$€£¥₹৳]|(?:USD|EUR|GBP|INR|BDT|AUD|CAD|SGD|AED|JPY|Tk|Rs))\s*-?[\d ,.]+$"
+DATE = r"(?i)^(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}\s*[-/]?\s*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*[-/,]?\s*\d{2,4})$"
+INT = r"(?i)^-?\d{1,6}(?:\.0+)?\s*(?:pcs|pc|nos|no|units?|box(?:es)?|pkt|kg|gm?|ml|l|ea)?$"
 DECIMAL = r"^-?\d+[.,]\d+$"
 CODE = r"^[A-Z0-9][A-Z0-9\-_/]{2,}$"
 #: Absolute floor of closeness.
 FLOOR = 0.011
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end: tabs, line ends and no-break spaces too."""
+    return F.regexp_replace(text, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")
+
+
 def token_class(text: Column) -> Column:
     """empty, percent, money, date, int, decimal, code or text: the first whose pattern fits; null counts as empty."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = stripped(F.coalesce(text, F.lit("")))
     return (
         F.when(t == "", "empty")
         .when(t.rlike(PERCENT), "percent")
@@ -41,11 +44,11 @@ def parse_number(text: Column) -> Column:
     The last comma or point is the decimal mark if one or two digits follow it; all others separate thousands.
     Brackets or a leading minus make it negative; currency marks and white space don't count.
     """
-    bare = F.trim(F.regexp_replace(text, f"(?i){CURRENCY}", ""))
+    bare = stripped(F.regexp_replace(text, f"(?i){CURRENCY}", ""))
     negative = bare.rlike(r"^\(.*\)$") | bare.startswith("-")
     digits = F.regexp_replace(bare, r"[()\-\s]", "")
-    marked = F.regexp_replace(digits, r"[.,](\d{1,2})$", "#$1")
-    plain = F.replace(F.regexp_replace(marked, "[.,]", ""), F.lit("#"), F.lit("."))
+    whole, part = F.regexp_extract(digits, r"^(.*)[.,](\d{1,2})$", 1), F.regexp_extract(digits, r"^(.*)[.,](\d{1,2})$", 2)
+    plain = F.concat(F.regexp_replace(F.when(part == "", digits).otherwise(whole), "[.,]", ""), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
     value = F.when(plain.rlike(r"^\d+(\.\d+)?$|^\.\d+$"), plain.try_cast("double"))
     return F.when(negative, -value).otherwise(value)
 

@@ -63,16 +63,14 @@ def _pieces(word: str, most: int, probe: bool) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(F.transform(numbers(-most, most), moved))))
 
 
-def nearest_word(words: DataFrame, vocabulary: DataFrame, most: int, initial: bool = False) -> DataFrame:
-    """words (word) with the vocabulary word within `most` edits: fewest edits, then the smaller.
+def nearest_word(words: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame:
+    """words (word) with the vocabulary word within `most` edits, itself left out: fewest edits, then the smaller.
 
-    The whole vocabulary is compared, or with `initial` the words of the same first letter.
+    Nulls have no nearest word. The whole vocabulary is compared, by pieces that words within `most` edits share.
     """
     w = words.select("word").distinct().select("word", F.inline(_pieces("word", most, True)))
     v = vocabulary.select(F.col("word").alias("other")).distinct().select("other", F.inline(_pieces("other", most, False)))
     pairs = w.join(v, ["n", "i", "piece"]).where(F.col("word") != F.col("other"))
-    if initial:
-        pairs = pairs.where(F.substring("word", 1, 1) == F.substring("other", 1, 1))
     pairs = pairs.select("word", "other").distinct().withColumn("edits", F.levenshtein("word", "other", most)).where("edits >= 0")
     return pairs.groupBy("word").agg(F.min(F.struct("edits", "other")).alias("b")).select("word", F.col("b.other").alias("nearest"), F.col("b.edits").alias("edits"))
 
@@ -82,3 +80,26 @@ def vocabulary_share(docs: DataFrame, id_col: str, words: Column, vocabulary: Da
     each = docs.select(id_col, F.explode(F.array_distinct(words)).alias("word"))
     known = each.join(vocabulary.select("word").distinct().withColumn("__v", F.lit(1)), "word", "left")
     return known.groupBy(id_col).agg(F.count("*").alias("words"), F.count("__v").alias("known"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of numbers, 0 where one of them is zero."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-10)
+
+
+def ratio_matches(vectors: DataFrame, by: list[str], id_col: str, vector: str, ratio: float) -> DataFrame:
+    """(id, other, cosine): the nearest other vector of a block, where its distance is at most `ratio` times the second's.
+
+    Blocks (by) bound the pairs compared; a block's pairs are made by a join and reduced to two per vector by a partial
+    aggregation, never collected; both minima are partial aggregates.
+    """
+    a = vectors.select(*by, F.col(id_col).alias("id"), F.col(vector).alias("__a"))
+    b = vectors.select(*by, F.col(id_col).alias("other"), F.col(vector).alias("__b"))
+    pairs = a.join(b, by).where("id != other").withColumn("c", cosine(F.col("__a"), F.col("__b")))
+    near = pairs.select("id", F.struct((-F.round("c", 9)).alias("d"), "other", "c").alias("n"))
+    best = near.groupBy("id").agg(F.min("n").alias("first"))
+    rest = near.join(best, "id").where(F.col("n.other") != F.col("first.other")).groupBy("id", "first").agg(F.min("n").alias("second"))
+    clear = F.round(1 - F.col("first.c"), 9) <= ratio * F.round(1 - F.col("second.c"), 9)
+    return rest.where(clear).select("id", F.col("first.other").alias("other"), F.round("first.c", 6).alias("cosine"))

@@ -27,6 +27,13 @@ def carry_forward(df: DataFrame, by: list[str], order: list[str], value: Column,
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def open_groups(df: DataFrame, by: list[str], order: list[str], opens: Column, item: Column, value: Column, name: str) -> DataFrame:
+    """df with the value of the latest row that opens a group, the row's own included; a row opens one only if an item follows."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    later = F.max(item).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return carry_forward(df.withColumn("__later", later), by, order, F.when(opens & F.coalesce("__later", F.lit(False)), value), name).drop("__later")
+
+
 def sequential_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Share of the values that follow the one before by one; null for groups of one."""
     w = Window.partitionBy(*by).orderBy(value)

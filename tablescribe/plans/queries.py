@@ -5,24 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescribe.functions.numbers import CODE, CURRENCY, DATE, DECIMAL, INT, MONEY, MONEY_LOOSE, PERCENT, close, iou, parse_number, round2, token_class
+from tablescribe.functions.numbers import CODE, CURRENCY, DATE, DECIMAL, INT, MONEY, MONEY_LOOSE, PERCENT, close, half_up, iou, parse_number, token_class
 from tablescribe.operators import aggregates, joins, windows
+from tablescribe.plans.registry import pattern_sql as _sql
+from tablescribe.plans.registry import query
 from tablescribe.sources.tables import table
 
 CLOSE_SQL = "abs(({a}) - ({b})) <= greatest(0.011, 0.02 * greatest(abs({a}), abs({b})))"
-QUERIES = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query(f"""
 WITH s AS (SELECT l_orderkey k, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) s FROM lineitem GROUP BY 1)
@@ -34,19 +23,39 @@ def reconcile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.reconcile(table(spark, sf_dir, "lineitem"), "l_orderkey", revenue, table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
 
 
+LINES = """l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_quantity END AS qty,
+ CASE WHEN l_linenumber = 6 THEN NULL WHEN l_linenumber = 2 THEN p_retailprice / 100 WHEN l_linenumber = 3 THEN p_retailprice ELSE l_extendedprice / l_quantity END AS price,
+ CASE WHEN l_linenumber = 4 OR l_linenumber = 7 AND l_partkey > 1000 THEN NULL WHEN l_linenumber = 1 THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice END AS amount,
+ CASE WHEN l_linenumber = 1 THEN l_extendedprice * l_discount END AS discount"""
+
+
 @query(f"""
-SELECT l_orderkey, l_linenumber, l_partkey, floor((l_extendedprice / l_quantity + 2.220446049250313e-16) * 100 + 0.5) / 100 AS unit_price,
-  CASE WHEN {CLOSE_SQL.format(a="l_quantity * p_retailprice", b="l_extendedprice")} THEN 'ok'
-       WHEN {CLOSE_SQL.format(a="l_quantity * p_retailprice", b="l_extendedprice * 10")} OR {CLOSE_SQL.format(a="l_quantity * p_retailprice", b="l_extendedprice / 10")}
-         OR {CLOSE_SQL.format(a="l_quantity * p_retailprice", b="l_extendedprice * 100")} OR {CLOSE_SQL.format(a="l_quantity * p_retailprice", b="l_extendedprice / 100")} THEN 'decimal_point'
-       ELSE 'mismatch' END AS status
-FROM lineitem JOIN part ON p_partkey = l_partkey""")
+WITH l AS (SELECT {LINES} FROM lineitem JOIN part ON p_partkey = l_partkey),
+d AS (SELECT *, qty * price AS e FROM l)
+SELECT l_orderkey, l_linenumber,
+  floor(1000 * CASE WHEN qty IS NULL AND price <> 0 THEN floor((amount / price + 2.220446049250313e-16) * 100 + 0.5) / 100 ELSE qty END + 0.5) / 1000 AS qty,
+  floor(1000 * CASE WHEN price IS NULL AND qty <> 0 THEN floor((amount / qty + 2.220446049250313e-16) * 100 + 0.5) / 100 ELSE price END + 0.5) / 1000 AS price,
+  floor(1000 * CASE WHEN amount IS NULL THEN floor((e + 2.220446049250313e-16) * 100 + 0.5) / 100 ELSE amount END + 0.5) / 1000 AS amount,
+  CASE WHEN qty IS NULL AND price <> 0 AND amount IS NOT NULL OR price IS NULL AND qty <> 0 AND amount IS NOT NULL OR amount IS NULL AND qty IS NOT NULL AND price IS NOT NULL THEN 'derived'
+       WHEN qty IS NULL OR price IS NULL OR amount IS NULL THEN 'unavailable'
+       WHEN {CLOSE_SQL.format(a="e", b="amount")} THEN 'ok' WHEN discount IS NOT NULL AND {CLOSE_SQL.format(a="(e - discount)", b="amount")} THEN 'ok'
+       WHEN {CLOSE_SQL.format(a="(e / 100)", b="amount")} OR {CLOSE_SQL.format(a="(e * 100)", b="amount")} THEN 'decimal-point' ELSE 'mismatch' END AS status
+FROM d""")
 def line_check_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-    made, printed = F.col("l_quantity") * F.col("p_retailprice"), F.col("l_extendedprice")
-    shifted = close(made, printed * 10) | close(made, printed / 10) | close(made, printed * 100) | close(made, printed / 100)
-    status = F.when(close(made, printed), "ok").when(shifted, "decimal_point").otherwise("mismatch")
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", round2(F.try_divide(printed, F.col("l_quantity"))).alias("unit_price"), status.alias("status"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(*_columns(LINES))
+    checked = aggregates.check_lines(lines, "qty", "price", "amount", "discount")
+    return checked.select("l_orderkey", "l_linenumber", *[half_up(F.col(c), 3).alias(c) for c in ("qty", "price", "amount")], "status")
+
+
+def _columns(listed: str) -> list[str]:
+    """The columns of a select list of plain expressions, split at the commas outside of brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(listed):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(listed[start:i])
+            start = i + 1
+    return [*out, listed[start:]]
 
 
 @query("""
@@ -61,12 +70,14 @@ def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS)
+WITH e AS (SELECT *, event_type = 'signup' AND EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'purchase' AND (f.ts, f.event_id) > (e.ts, e.event_id)) AS opens FROM events e)
+SELECT event_id, user_id, event_type, last_value(CASE WHEN opens THEN event_id END IGNORE NULLS)
   OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_group
-FROM events""")
+FROM e""")
 def group_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    carried = windows.carry_forward(events, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "open_group")
+    kind = F.col("event_type")
+    carried = windows.open_groups(events, ["user_id"], ["ts", "event_id"], kind == "signup", kind == "purchase", F.col("event_id"), "open_group")
     return carried.select("event_id", "user_id", "event_type", "open_group")
 
 
@@ -127,7 +138,7 @@ def mode_larger_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = """(
 SELECT 'brand' AS col, p_brand AS token FROM part UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT 'percent', CAST(p_size AS VARCHAR) || ' %' FROM part
 UNION ALL SELECT 'money', '$' || CAST(p_size AS VARCHAR) || '.50' FROM part UNION ALL SELECT 'grouped', CAST(p_size AS VARCHAR) || ',234.56' FROM part UNION ALL SELECT 'code', 'PX-' || CAST(p_partkey AS VARCHAR) FROM part
-UNION ALL SELECT 'date', '12/03/20' || CAST(10 + p_size % 80 AS VARCHAR) FROM part UNION ALL SELECT 'negative', '(' || CAST(p_size AS VARCHAR) || ',5)' FROM part UNION ALL SELECT 'empty', ' ' FROM part
+UNION ALL SELECT 'date', '12/03/20' || CAST(10 + p_size % 80 AS VARCHAR) FROM part UNION ALL SELECT 'negative', '(' || CAST(p_size AS VARCHAR) || ',5)' FROM part UNION ALL SELECT 'empty', ' ' FROM part UNION ALL SELECT 'tab', chr(9) || ' ' FROM part UNION ALL SELECT 'marked', CAST(p_size AS VARCHAR) || '#50' FROM part
 UNION ALL SELECT 'type', p_type FROM part UNION ALL SELECT 'units', CAST(p_size AS VARCHAR) || ' pcs' FROM part)"""
 
 
@@ -136,19 +147,15 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {
         "brand": F.col("p_brand"), "size": size, "percent": F.concat(size, F.lit(" %")), "money": F.concat(F.lit("$"), size, F.lit(".50")), "grouped": F.concat(size, F.lit(",234.56")),
         "code": F.concat(F.lit("PX-"), F.col("p_partkey").cast("string")), "date": F.concat(F.lit("12/03/20"), (10 + F.col("p_size") % 80).cast("string")),
-        "negative": F.concat(F.lit("("), size, F.lit(",5)")), "empty": F.lit(" "), "type": F.col("p_type"), "units": F.concat(size, F.lit(" pcs")),
+        "negative": F.concat(F.lit("("), size, F.lit(",5)")), "empty": F.lit(" "), "tab": F.lit("\t "), "marked": F.concat(size, F.lit("#50")), "type": F.col("p_type"), "units": F.concat(size, F.lit(" pcs")),
     }
     return table(spark, sf_dir, "part").select(F.explode(F.array(*[F.struct(F.lit(k).alias("col"), v.alias("token")) for k, v in kinds.items()])).alias("t")).select("t.*")
 
 
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-CLASS_SQL = f"""CASE WHEN trim(token) = '' THEN 'empty' WHEN regexp_matches(trim(token), {_sql(PERCENT)}) THEN 'percent'
- WHEN regexp_matches(trim(token), {_sql(MONEY)}) OR regexp_matches(trim(token), {_sql(MONEY_LOOSE)}) THEN 'money' WHEN regexp_matches(trim(token), {_sql(DATE)}) THEN 'date'
- WHEN regexp_matches(trim(token), {_sql(INT)}) THEN 'int' WHEN regexp_matches(trim(token), {_sql(DECIMAL)}) THEN 'decimal'
- WHEN regexp_matches(trim(token), {_sql(CODE)}) AND regexp_matches(token, '[0-9]') THEN 'code' ELSE 'text' END"""
+CLASS_SQL = f"""CASE WHEN trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) = '' THEN 'empty' WHEN regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(PERCENT)}) THEN 'percent'
+ WHEN regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(MONEY)}) OR regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(MONEY_LOOSE)}) THEN 'money' WHEN regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(DATE)}) THEN 'date'
+ WHEN regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(INT)}) THEN 'int' WHEN regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(DECIMAL)}) THEN 'decimal'
+ WHEN regexp_matches(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), {_sql(CODE)}) AND regexp_matches(token, '[0-9]') THEN 'code' ELSE 'text' END"""
 
 
 @query(f"""
@@ -161,9 +168,9 @@ def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT col, token, trim(regexp_replace(token, '(?i){CURRENCY}', '', 'g')) AS s FROM {TOKENS_SQL}),
+WITH b AS (SELECT col, token, trim(regexp_replace(token, '(?i){CURRENCY}', '', 'g'), ' ' || chr(9)) AS s FROM {TOKENS_SQL}),
 d AS (SELECT *, regexp_replace(s, '[()\\-\\s]', '', 'g') AS d FROM b),
-p AS (SELECT *, replace(regexp_replace(regexp_replace(d, '[.,](\\d{{1,2}})$', '#\\1'), '[.,]', '', 'g'), '#', '.') AS p FROM d)
+p AS (SELECT *, CASE WHEN regexp_matches(d, '[.,]\\d{{1,2}}$') THEN regexp_replace(regexp_extract(d, '^(.*)[.,]\\d{{1,2}}$', 1), '[.,]', '', 'g') || '.' || regexp_extract(d, '[.,](\\d{{1,2}})$', 1) ELSE regexp_replace(d, '[.,]', '', 'g') END AS p FROM d)
 SELECT col, count(*) AS n, count(v) AS parsed, round(sum(v), 4) AS total FROM (
   SELECT col, CASE WHEN regexp_matches(s, '^\\(.*\\)$') OR s LIKE '-%' THEN -1 ELSE 1 END * CASE WHEN regexp_matches(p, '^\\d+(\\.\\d+)?$|^\\.\\d+$') THEN try_cast(p AS DOUBLE) END AS v FROM p)
 GROUP BY col""")
@@ -247,12 +254,12 @@ def vocabulary_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT DISTINCT lower(p_type) FROM part),
-p AS (SELECT a.word, b.word AS other, levenshtein(a.word, b.word) AS e FROM w a JOIN w b ON a.word <> b.word AND left(a.word, 1) = left(b.word, 1))
+p AS (SELECT a.word, b.word AS other, levenshtein(a.word, b.word) AS e FROM w a JOIN w b ON a.word <> b.word)
 SELECT word, other AS nearest, CAST(e AS INTEGER) AS edits FROM p WHERE e <= 3 QUALIFY row_number() OVER (PARTITION BY word ORDER BY e, other) = 1""")
 def nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     words = parts.select(F.explode(F.split("p_name", " ")).alias("word")).unionAll(parts.select(F.lower("p_type"))).distinct()
-    return joins.nearest_word(words, words, 3, initial=True)  # as its SQL has it
+    return joins.nearest_word(words, words, 3)
 
 
 @query("""
@@ -307,16 +314,14 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k.cast("long")).alias("k_sum"), F.count_distinct(k).alias("kinds"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r]+') AS w FROM documents WHERE n_chars < 500)),
-g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM t WHERE i + 2 <= len(w)),
-n AS (SELECT a, b, c, count(*) AS n FROM g GROUP BY 1, 2, 3)
-SELECT doc_id, count(*) AS trigrams, round(sum(ln(n / 1e6)), 4) AS score FROM g JOIN n USING (a, b, c) GROUP BY 1""")
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n\r]+') AS w FROM documents),
+g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+v AS (SELECT regexp_extract_all(lower(text), '[^ \t\n\r]+') AS w FROM benchmark),
+f AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS n FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM v) GROUP BY 1, 2, 3)
+SELECT doc_id, count(*) AS trigrams, count(n) AS known, round(sum(ln(coalesce(n, 1) / 1e6)), 4) AS score FROM g LEFT JOIN f USING (a, b, c) GROUP BY 1""")
 def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log score of the short texts' trigrams by their counts over all of those: the short ones are the operator's table."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\r]+"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").where("n_chars < 500").select("doc_id", words.alias("w")).where(F.size("w") >= 3)
-    at = F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("i")
-    grams = docs.select("doc_id", "w", at).select("doc_id", *[F.element_at("w", F.col("i") + k).alias(c) for k, c in enumerate("abc")])
-    counts = grams.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
-    return grams.join(counts, ["a", "b", "c"]).groupBy("doc_id").agg(F.count("*").alias("trigrams"), F.round(F.sum(F.log(F.col("n") / 1e6)), 4).alias("score"))
+    """Log score of every document's trigrams by their counts in the benchmark texts; unseen ones count once."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^ \t\n\r]+"), F.lit(0))
+    frequency = aggregates.trigrams(table(spark, sf_dir, "benchmark").select(words("text").alias("w"))).groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+    return aggregates.trigram_score(table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")), "doc_id", frequency)
