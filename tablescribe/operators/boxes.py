@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescribe.functions.numbers import iou
-from tablescribe.operators.joins import buckets
+from tablescribe.operators.joins import meeting_bucket, point_keys, range_keys
 
 SIDES = ("x0", "y0", "x1", "y1")
 
@@ -29,8 +29,8 @@ def _renamed(df: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
 def centre_in(points: DataFrame, cells: DataFrame, by: Sequence[str], width: float) -> DataFrame:
     """Pairs of a box and the cell that its centre lies in: columns of points as p_..., of cells as c_..."""
     p = _renamed(points, by, "p_").withColumns({"__x": (F.col("p_x0") + F.col("p_x1")) / 2, "__y": (F.col("p_y0") + F.col("p_y1")) / 2})
-    p = p.withColumn("__b", F.floor(F.col("__x") / width))
-    c = _renamed(cells, by, "c_").withColumn("__b", F.explode(buckets(F.col("c_x0"), F.col("c_x1"), width)))
+    p = p.withColumn("__b", F.explode(point_keys(F.col("__x"), width)))
+    c = _renamed(cells, by, "c_").withColumn("__b", F.explode(range_keys(F.col("c_x0"), F.col("c_x1"), width)))
     inside = (F.col("__x") >= F.col("c_x0")) & (F.col("__x") < F.col("c_x1")) & (F.col("__y") >= F.col("c_y0")) & (F.col("__y") < F.col("c_y1"))
     return p.join(c, [*by, "__b"]).where(inside).drop("__b", "__x", "__y")
 
@@ -47,12 +47,12 @@ def text_of_cells(words: DataFrame, cells: DataFrame, by: Sequence[str], cell: S
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: Sequence[str], width: float) -> DataFrame:
-    """Pairs of boxes that overlap, as a_... and b_...; a pair that shares several buckets comes up in the first alone."""
-    x = _renamed(a, by, "a_").withColumn("__b", F.explode(buckets(F.col("a_x0"), F.col("a_x1"), width)))
-    y = _renamed(b, by, "b_").withColumn("__b", F.explode(buckets(F.col("b_x0"), F.col("b_x1"), width)))
-    first = F.floor(F.greatest("a_x0", "b_x0") / width)
+    """Pairs of boxes that overlap, as a_... and b_..., each once."""
+    x = _renamed(a, by, "a_").withColumn("__b", F.explode(range_keys(F.col("a_x0"), F.col("a_x1"), width, True)))
+    y = _renamed(b, by, "b_").withColumn("__b", F.explode(range_keys(F.col("b_x0"), F.col("b_x1"), width, True)))
+    once = meeting_bucket((F.col("a_x0"), F.col("a_x1")), (F.col("b_x0"), F.col("b_x1")), F.col("__b"), width)
     meet = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
-    return x.join(y, [*by, "__b"]).where(meet & (F.col("__b") == first)).drop("__b")
+    return x.join(y, [*by, "__b"]).where(meet & once).drop("__b")
 
 
 def overlap_mean(cells: DataFrame, boxes: DataFrame, by: Sequence[str], cell: Sequence[str], value: str, width: float) -> DataFrame:
@@ -63,13 +63,13 @@ def overlap_mean(cells: DataFrame, boxes: DataFrame, by: Sequence[str], cell: Se
 
 def outside_ranges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, by: Sequence[str], width: float) -> DataFrame:
     """The points that lie in none of the half-open ranges; null points lie in none."""
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
-    r = ranges.select(*by, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")).withColumn("__b", F.explode(buckets(F.col("__lo"), F.col("__hi"), width)))
-    same = [p[c] == r[c] for c in [*by, "__b"]]
-    inside = (p[at] >= r["__lo"]) & (p[at] < r["__hi"])
-    for s in same:
-        inside = inside & s
-    return p.join(r, inside, "left_anti").drop("__b")
+    r = ranges.select(*by, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")).withColumn("__k", F.explode(range_keys(F.col("__lo"), F.col("__hi"), width)))
+    places = points.select(*by, F.col(at).alias("__at")).where("__at is not null").distinct()
+    met = places.withColumn("__k", F.explode(point_keys(F.col("__at"), width))).join(r, [*by, "__k"]).where("__at >= __lo and __at < __hi").select(*[F.col(c).alias(f"__{c}") for c in by], "__at").distinct()
+    same = F.col(at) == F.col("__at")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return points.join(met, same, "left_anti")
 
 
 def nearest_centre(points: DataFrame, at: str, centres: DataFrame, centre: str, index: str, by: Sequence[str], name: str, reject: float) -> DataFrame:
@@ -104,7 +104,7 @@ def within_radius(points: DataFrame, by: Sequence[str], id_col: str, radius: flo
 def right_neighbour(boxes: DataFrame, by: Sequence[str], id_col: str, reach: float, share: float = 0.5) -> DataFrame:
     """(by, id, neighbour, gap): the box whose left side is nearest at or after a box's right side, within reach, and
     that overlaps it by `share` of the lower height; of equals the smaller id. Boxes without one are left out."""
-    a = _renamed(boxes, by, "a_").withColumn("__b", F.explode(buckets(F.col("a_x1"), F.col("a_x1") + reach, reach)))
+    a = _renamed(boxes, by, "a_").withColumn("__b", F.explode(F.sequence(F.floor(F.col("a_x1") / reach), F.floor(F.col("a_x1") / reach) + 1)))
     b = _renamed(boxes, by, "b_").withColumn("__b", F.floor(F.col("b_x0") / reach))
     gap = F.col("b_x0") - F.col("a_x1")
     over = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
@@ -179,8 +179,8 @@ def spans_between(gutters: DataFrame, by: Sequence[str], edges: DataFrame, least
 def row_occupancy(boxes: DataFrame, row: Sequence[str], column: str, gutters: DataFrame, by: Sequence[str], width: float) -> DataFrame:
     """(row, columns, crossed): distinct columns that a row's boxes fill, and gutters (by, x0, x1) that one of its boxes reaches across."""
     filled = boxes.groupBy(*row).agg(F.count_distinct(column).alias("columns"))
-    a = boxes.select(*dict.fromkeys([*by, *row]), F.col("x0").alias("__0"), F.col("x1").alias("__1")).withColumn("__b", F.explode(buckets(F.col("__0"), F.col("__1"), width)))
-    g = gutters.select(*by, "x0", "x1").withColumn("__b", F.floor(F.col("x0") / width))
+    a = boxes.select(*dict.fromkeys([*by, *row]), F.col("x0").alias("__0"), F.col("x1").alias("__1")).withColumn("__b", F.explode(range_keys(F.col("__0"), F.col("__1"), width)))
+    g = gutters.select(*by, "x0", "x1").withColumn("__b", F.explode(point_keys(F.col("x0"), width)))
     crossed = a.join(g, [*by, "__b"]).where((F.col("__0") < F.col("x0")) & (F.col("__1") > F.col("x1"))).groupBy(*row).agg(F.count_distinct("x0", "x1").alias("crossed"))
     return filled.join(crossed, list(row), "left").select(*row, "columns", F.coalesce("crossed", F.lit(0)).alias("crossed"))
 

@@ -6,32 +6,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def buckets(lo: Column, hi: Column, width: float) -> Column:
-    """All buckets that an interval touches."""
-    return F.sequence(F.floor(lo / width), F.floor(hi / width))
+#: Bucket widths: `width` times a power of this, as many as there are levels.
+_GROWTH, _LEVELS = 64.0, 6
+
+
+def _level(lo: Column, hi: Column, width: float) -> Column:
+    """The least level at which an interval touches some 65 buckets at most (the last one takes what is longer)."""
+    out = F.lit(_LEVELS - 1)
+    for k in reversed(range(_LEVELS - 1)):
+        out = F.when(hi - lo <= width * _GROWTH ** (k + 1), k).otherwise(out)
+    return out
+
+
+def _bucket(x: Column, level: Column, width: float) -> Column:
+    return F.floor(x / (width * F.pow(F.lit(_GROWTH), level)))
+
+
+def point_keys(at: Column, width: float) -> Column:
+    """The bucket (l, b) of a point at every level; none for null."""
+    levels = F.array(*[F.lit(k) for k in range(_LEVELS)])
+    return F.when(at.isNotNull(), F.transform(levels, lambda k: F.struct(k.alias("l"), _bucket(at, k, width).alias("b"))))
+
+
+def range_keys(lo: Column, hi: Column, width: float, every: bool = False) -> Column:
+    """The buckets (l, b) that an interval touches at its own level, or with `every` at that and all coarser ones: a
+    bounded number however long it is. None where a bound is null or lo is above hi."""
+    own = _level(lo, hi, width)
+    levels = F.sequence(own, F.lit(_LEVELS - 1)) if every else F.array(own)
+    at = lambda k: F.transform(F.sequence(_bucket(lo, k, width), _bucket(hi, k, width)), lambda b: F.struct(k.alias("l"), b.alias("b")))
+    return F.when(lo <= hi, F.flatten(F.transform(levels, at)))
+
+
+def meeting_bucket(a: tuple[Column, Column], b: tuple[Column, Column], key: Column, width: float) -> Column:
+    """Whether key is the one bucket in which a pair of intervals that overlap is to be reported: at the coarser of their
+    levels, where the later one starts."""
+    level = F.greatest(_level(*a, width), _level(*b, width))
+    return (key["l"] == level) & (key["b"] == _bucket(F.greatest(a[0], b[0]), level, width))
+
+
+def _free(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def points_in_ranges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float, by: list[str] = ()) -> DataFrame:
-    """Pairs with lo <= at <= hi. A point is in one bucket, so no pair comes up twice; pick `width` near a usual range."""
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
-    r = ranges.withColumn("__b", F.explode(buckets(F.col(lo), F.col(hi), width)))
-    return p.join(r, ["__b", *by]).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("__b")
+    """Pairs with lo <= at <= hi; null points and bounds, and ranges with lo above hi, meet nothing. No pair comes up twice;
+    pick `width` near a usual range: longer ones go to wider buckets."""
+    k = _free("__k", points, ranges)
+    p = points.withColumn(k, F.explode(point_keys(F.col(at), width)))
+    r = ranges.withColumn(k, F.explode(range_keys(F.col(lo), F.col(hi), width)))
+    return p.join(r, [k, *by]).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop(k)
 
 
 def overlaps(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: float) -> DataFrame:
-    """Pairs of half-open intervals that overlap; a pair that shares several buckets comes up in the first alone."""
-    x = a.withColumn("__b", F.explode(buckets(F.col(a_range[0]), F.col(a_range[1]), width)))
-    y = b.withColumn("__b", F.explode(buckets(F.col(b_range[0]), F.col(b_range[1]), width)))
-    first = F.floor(F.greatest(F.col(a_range[0]), F.col(b_range[0])) / width)
-    return x.join(y, [*by, "__b"]).where((F.col(a_range[0]) < F.col(b_range[1])) & (F.col(b_range[0]) < F.col(a_range[1])) & (F.col("__b") == first)).drop("__b")
+    """Pairs of half-open intervals that overlap, each once; empty, reversed and null intervals overlap nothing."""
+    k = _free("__k", a, b)
+    x = a.withColumn(k, F.explode(range_keys(*map(F.col, a_range), width, True)))
+    y = b.withColumn(k, F.explode(range_keys(*map(F.col, b_range), width, True)))
+    meet = (F.col(a_range[0]) < F.col(b_range[1])) & (F.col(b_range[0]) < F.col(a_range[1])) & (F.col(a_range[0]) < F.col(a_range[1])) & (F.col(b_range[0]) < F.col(b_range[1]))
+    once = meeting_bucket(tuple(map(F.col, a_range)), tuple(map(F.col, b_range)), F.col(k), width)
+    return x.join(y, [*by, k]).where(meet & once).drop(k)
 
 
 def anti_union(a: DataFrame, b: DataFrame, by: list[str], lo: str, hi: str, width: float) -> DataFrame:
-    """b and the rows of a that overlap none of it (same columns; intervals half-open)."""
-    y = b.select(*by, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")).withColumn("__b", F.explode(buckets(F.col("__lo"), F.col("__hi"), width)))
-    tagged = a.withColumn("__row", F.struct(*a.columns)).withColumn("__b", F.explode(buckets(F.col(lo), F.col(hi), width)))
-    met = tagged.join(y, [*by, "__b"]).where((F.col(lo) < F.col("__hi")) & (F.col("__lo") < F.col(hi))).select("__row").distinct()
-    rest = a.withColumn("__row", F.struct(*a.columns)).join(met, "__row", "left_anti").select(*a.columns)
+    """b and the rows of a that overlap none of it (same columns; intervals half-open; empty, reversed and null ones overlap
+    nothing, so they stay). Repeated rows of a stay as often as they stand there."""
+    k, row, low, high = (_free(n, a, b) for n in ("__k", "__row", "__lo", "__hi"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in a.columns])
+    y = b.select(*by, F.col(lo).alias(low), F.col(hi).alias(high)).withColumn(k, F.explode(range_keys(F.col(low), F.col(high), width, True)))
+    tagged = a.withColumn(row, whole).withColumn(k, F.explode(range_keys(F.col(lo), F.col(hi), width, True)))
+    meet = (F.col(lo) < F.col(high)) & (F.col(low) < F.col(hi)) & (F.col(lo) < F.col(hi)) & (F.col(low) < F.col(high))
+    met = tagged.join(y, [*by, k]).where(meet).select(F.col(row).alias("__met")).distinct()
+    rest = a.withColumn(row, whole).join(met, F.col(row) == F.col("__met"), "left_anti").select(*a.columns)
     return b.select(*a.columns).unionAll(rest)
 
 

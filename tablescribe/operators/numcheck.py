@@ -121,6 +121,14 @@ def _rounded(role: str, value: Column) -> Column:
     return F.when(F.abs(value - whole) <= 0.05, whole) if role in WHOLE else half_up(value, 2)
 
 
+def _agreed(ways: Column, whole: bool) -> Column:
+    """The value that most of the ways give; null if there is none, or as many give another."""
+    near = (lambda a, b: a == b) if whole else (lambda a, b: F.abs(a - b) <= F.greatest(F.lit(0.011), 0.005 * F.abs(a)))
+    votes = F.transform(ways, lambda v, i: F.struct(F.size(F.filter(ways, lambda o: near(v, o))).alias("n"), (-i).alias("i"), v.alias("v")))
+    top = F.array_max(votes)
+    return F.when(F.forall(votes, lambda s: (s["n"] < top["n"]) | near(s["v"], top["v"])), top["v"])
+
+
 def repair(rows: DataFrame, by: Sequence[str], present: Sequence[str], relations: Sequence[Relation] = RELATIONS, texts: Mapping[str, str] | None = None, passes: int = 2) -> DataFrame:
     """rows with the roles repaired, and: filled and fixed (names of roles), failed (relations that still don't hold).
 
@@ -134,39 +142,26 @@ def repair(rows: DataFrame, by: Sequence[str], present: Sequence[str], relations
     df = rows.join(used, list(by)).withColumns({"filled": F.array().cast("array<string>"), "fixed": F.array().cast("array<string>")})
     on = lambda r: F.array_contains("__used", r.name)
     for _ in range(passes):
-        new: dict[str, Column] = {}
-        for x in present:
-            ways = [F.when(on(r) & F.col(x).isNull(), _rounded(x, r.solve(x, _values(present, r)))) for r in some if x in r.roles]
-            ways = [F.when(w >= 0, w) for w in ways]
-            if not ways:
-                continue
-            near = (lambda a, b: a == b) if x in WHOLE else (lambda a, b: F.abs(a - b) <= F.greatest(F.lit(0.011), 0.005 * F.abs(a)))
-            votes = [F.struct(sum((F.coalesce(near(w, o), F.lit(False)).cast("int") for o in ways), F.lit(0)).alias("n"), F.lit(-i).alias("i"), w.alias("v")) for i, w in enumerate(ways)]
-            told = F.array_compact(F.array(*[F.when(w.isNotNull(), s) for w, s in zip(ways, votes)]))
-            df = df.withColumn("__v", told)
-            top = F.array_max("__v")
-            clear = F.forall("__v", lambda s: (s["n"] < F.array_max("__v")["n"]) | near(s["v"], F.array_max("__v")["v"]))
-            df = df.withColumn(f"__{x}", F.when((F.size("__v") > 0) & clear, top["v"])).drop("__v")
-            new[x] = F.coalesce(F.col(x), F.col(f"__{x}"))
-        done = F.array_compact(F.array(*[F.when(F.col(x).isNull() & F.col(f"__{x}").isNotNull(), F.lit(x)) for x in new])) if new else F.array().cast("array<string>")
-        df = df.withColumns({"filled": F.concat("filled", done), **new}).drop(*[f"__{x}" for x in new])
-        df = written(df, "filled")  # a table between the passes: nested they would repeat each other's expressions
-    df = df.withColumns({f"__ok_{r.name}": F.when(on(r), _holds(r, _values(present, r))) for r in some})
-    df = df.withColumns({f"__fix_{r.name}_{x}": F.when(~F.col(f"__ok_{r.name}"), _rounded(x, r.solve(x, _values(present, r)))) for r in some for x in r.roles if x in present})
-    df, fixes = written(df, "tested"), []
-    for r in some:
-        for x in [x for x in r.roles if x in present]:
-            touched = [o for o in some if x in o.roles]
-            name = f"__fix_{r.name}_{x}"
-            after = [F.when(on(o), _holds(o, {**_values(present, o), x: F.col(name)})) for o in touched]
-            before = [F.col(f"__ok_{o.name}") for o in touched]
-            count = lambda conditions: sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0))
-            gain, loss = count([a & ~b for a, b in zip(after, before)]), count([~a & b for a, b in zip(after, before)])
-            printed = F.col(texts[x]) if texts and x in texts else F.format_string("%.2f", F.col(x))
-            good = (F.col(name) >= 0) & (loss == 0) & (gain > 0) & (F.coalesce(plausible_misread(F.col(name), printed), F.lit(False)) | (gain >= 2))
-            misread = F.coalesce(plausible_misread(F.col(name), printed), F.lit(False)).cast("int")
-            fixes.append(F.when(good, F.struct((gain * 10 + 5 * F.greatest(misread, (gain >= 2).cast("int"))).alias("score"), F.lit(-len(fixes)).alias("first"), F.lit(x).alias("role"), F.col(name).alias("value"))))
-    df = written(df.withColumn("__fix", F.array_max(F.array_compact(F.array(*fixes)))), "fixes")
+        ways = {x: [F.when(on(r) & F.col(x).isNull(), _rounded(x, r.solve(x, _values(present, r)))) for r in some if x in r.roles] for x in present}
+        ways = {x: w for x, w in ways.items() if w}
+        df = df.withColumns({f"__w_{x}": F.filter(F.array_compact(F.array(*w)), lambda v: v >= 0) for x, w in ways.items()})
+        df = written(df.withColumns({f"__v_{x}": _agreed(F.col(f"__w_{x}"), x in WHOLE) for x in ways}).drop(*[f"__w_{x}" for x in ways]), "voted")
+        done = F.array_compact(F.array(*[F.when(F.col(f"__v_{x}").isNotNull(), F.lit(x)) for x in ways]))
+        df = df.withColumns({"filled": F.concat("filled", done), **{x: F.coalesce(F.col(x), F.col(f"__v_{x}")) for x in ways}}).drop(*[f"__v_{x}" for x in ways])
+    tested = df.withColumns({f"__ok_{r.name}": F.when(on(r), _holds(r, _values(present, r))) for r in some})
+    df = written(tested.withColumn("__id", F.monotonically_increasing_id()), "tested")
+    # only rows on which a relation fails have candidates: each a row of its own, so that its tests are written once
+    candidates = [F.when(~F.col(f"__ok_{r.name}"), F.struct(F.lit(i).alias("i"), F.lit(x).alias("role"), _rounded(x, r.solve(x, _values(present, r))).alias("value"))) for i, (r, x) in enumerate((r, x) for r in some for x in r.roles if x in present)]
+    asked = df.where(F.least(*[F.coalesce(F.col(f"__ok_{r.name}"), F.lit(True)) for r in some], F.lit(True)) == F.lit(False)) if some else df.where("false")
+    each = asked.withColumn("__c", F.explode(F.array_compact(F.array(*candidates)))).where("__c.value >= 0")
+    changed = {x: F.when(F.col("__c.role") == x, F.col("__c.value")).otherwise(F.col(x)) for x in present}
+    after = {r.name: F.when(on(r), _holds(r, {**_values(present, r), **{x: changed[x] for x in r.roles if x in present}})) for r in some}
+    count = lambda conditions: sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0))
+    each = each.withColumns({"__gain": count([after[r.name] & ~F.col(f"__ok_{r.name}") for r in some]), "__loss": count([~after[r.name] & F.col(f"__ok_{r.name}") for r in some])}).where("__gain > 0 and __loss = 0")
+    printed = F.coalesce(*[F.when(F.col("__c.role") == x, F.col(texts[x]) if texts and x in texts else F.format_string("%.2f", F.col(x))) for x in present])
+    likely = F.coalesce(plausible_misread(F.col("__c.value"), printed), F.lit(False)) | (F.col("__gain") >= 2)
+    best = each.where(likely).groupBy("__id").agg(F.max(F.struct("__gain", (-F.col("__c.i")).alias("first"), F.col("__c.role").alias("role"), F.col("__c.value").alias("value"))).alias("__fix"))
+    df = df.join(best, "__id", "left")
     roles = {x: F.when(F.col("__fix.role") == x, F.col("__fix.value")).otherwise(F.col(x)) for x in present}
     df = df.withColumns({"fixed": F.array_compact(F.array(F.col("__fix.role"))), **roles})
     failed = F.array_compact(F.array(*[F.when(on(r) & ~_holds(r, _values(present, r)), F.lit(r.name)) for r in some]))
