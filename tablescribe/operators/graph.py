@@ -38,3 +38,12 @@ def dense_labels(df: DataFrame, by: list[str], label: str, order: list[str]) ->
     """(by, label, dense): labels numbered from 0 in the order in which they first appear; within `by`, never over the whole table."""
     first = df.groupBy(*by, label).agg(F.min(F.struct(*order)).alias("__f"))
     return first.select(*by, label, (F.row_number().over(Window.partitionBy(*by).orderBy("__f", label)) - 1).alias("dense"))
+
+
+def neighbour_edges(points: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, a, b, shared): pairs of labels whose points (x, y) touch to the right or below, and how often."""
+    here = points.select(*by, "x", "y", F.col(label).alias("__l"))
+    steps = F.array(F.struct((F.col("x") + 1).alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), (F.col("y") + 1).alias("y")))
+    asked = here.select(*by, F.col("__l").alias("__o"), F.explode(steps).alias("s")).select(*by, "__o", "s.x", "s.y")
+    pairs = asked.join(here, [*by, "x", "y"]).where("__l != __o")
+    return pairs.groupBy(*by, F.least("__l", "__o").alias("a"), F.greatest("__l", "__o").alias("b")).agg(F.count("*").alias("shared"))

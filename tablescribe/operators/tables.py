@@ -140,3 +140,10 @@ def keys_of_titles(titles: DataFrame, id_col: str, title: str, vocabulary: list[
     agreed = F.array_max(F.transform(fits, lambda f: F.struct(f["n"].alias("n"), f["exact"].alias("exact"))))
     key = F.when(F.exists(t, is_quantity_word), "qty").otherwise(longest["key"])
     return split.select(id_col, key.alias("key"), F.coalesce(agreed["n"], F.lit(0)).alias("label_words"), F.coalesce(agreed["exact"], F.lit(0)).alias("exact"))
+
+
+def first_match(lines: DataFrame, by: list[str], order: str, text: str, patterns: Sequence[str]) -> DataFrame:
+    """(by, value): what the first line that fits one of the patterns has in its first group, by the first pattern that fits."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = F.coalesce(*[F.when(t.rlike(p), F.trim(F.regexp_extract(t, p, 1))) for p in patterns])
+    return lines.select(*by, order, found.alias("v")).where("v is not null").groupBy(*by).agg(F.min_by("v", order).alias("value"))
