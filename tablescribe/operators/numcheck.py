@@ -66,10 +66,10 @@ RELATIONS = (
 
 def formula_relation(key: str, formula: str, roles: Mapping[str, str]) -> Relation | None:
     """A relation that a user writes, '{qty}*{tp}' for the column key; null if a name is unknown or the formula holds
-    anything but numbers, operators, brackets and names."""
+    anything but numbers, + - * /, brackets and names."""
     names = [n.strip() for n in re.findall(r"\{([^}]+)\}", formula)]
     body = re.sub(r"\{([^}]+)\}", lambda m: f"{{{m[1].strip()}}}", formula)
-    if not names or key in names or key not in roles or any(n not in roles for n in names) or not re.fullmatch(r"[\s0-9.+\-*/()]*", re.sub(r"\{[^}]+\}", "", body)):
+    if not names or key in names or key not in roles or any(n not in roles for n in names) or re.search(r"\*\s*\*|/\s*/", body) or not re.fullmatch(r"[\s0-9.+\-*/()]*", re.sub(r"\{[^}]+\}", "", body)):
         return None
     used = tuple(dict.fromkeys(roles[n] for n in names))
     parts = re.split(r"(\{[^}]+\})", body)
