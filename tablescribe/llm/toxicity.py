@@ -37,7 +37,7 @@ PAD = 10
 #: Curve where the labelled rows hold one class only.
 PRIOR = (0.0, 15.0, 15.0, -10.0)
 #: Words remembered by a worker; beyond that it starts anew, so memory stays bounded.
-_REMEMBERED = 900_000
+_REMEMBERED = 500_000
 #: Words of texts looked at together.
 _TOGETHER = 300_000
 
@@ -55,8 +55,8 @@ def keys_of(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.
     those belong to the word, and the number of the word."""
     data = np.frombuffer(b"\0" * order + b"".join(words), np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    place = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     key = np.zeros(len(word), np.uint64)
     for j in range(order + 1):
         key = (key << np.uint64(8)) | data[j : j + len(key)]
@@ -210,7 +210,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     return written(texts.join(parts[0].unionAll(parts[1]), "id").dropDuplicates(["text", "toxic"]), "sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, fold, per_class: int = 6000, order: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out, fold, per_class: int = 3000, order: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The models and the curve. held_out and fold make conditions of the id column: rows whose labels are never
     looked at, and rows of the sample that fit the curve instead of the models.
 
