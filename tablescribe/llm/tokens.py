@@ -3,13 +3,14 @@
 The file format is the Arrow IPC file format (record batches with a footer for random access). A shard
 holds the ids of its documents one after another, cut into sequences of equal length: column `ids`, a
 fixed-size list of unsigned integers (16 bits where the vocabulary allows), and column `mask`, a
-fixed-size list of booleans, false on the padding that ends the shard. Both are flat buffers, so sequence k
+fixed-size list of bytes, 1 for ids and 0 on the padding that ends the shard. Both are flat buffers, so sequence k
 of a memory-mapped shard is a slice without copying. Beside each shard lies its index, in the same
 format: document, first id in the shard, number of ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -30,6 +31,19 @@ from tablescribe.llm.common import shared_folder
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_CHARACTER = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
+#: The split of tokenizers whose texts can be encoded word by word: contractions, letters, single digits, all other characters.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer's file says that the ids of a text are those of its lower-cased words in turn."""
+    steps = lambda part, key: [] if not part else part[key] if part["type"] == "Sequence" else [part]
+    normal, pre = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+    spaces = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in normal)
+    split = len(pre) == 2 and pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": _SPLIT} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+    return spaces and split and any(x["type"] == "Lowercase" for x in normal) and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1].get("use_regex", True)
+
+
 #: Words remembered by a worker; beyond that it starts anew, so memory stays bounded.
 _REMEMBERED = 900_000
 
@@ -38,7 +52,7 @@ class WordIds(dict):
     """The ids of words between ASCII white space, as little-endian bytes, remembered.
 
     For tokenizers that drop white space, so that the ids of a text are those of its words in turn, and that
-    lower the case, so that a word may be looked up in lower case. A full stop or comma at the end of a
+    lower the case, so that a word may be looked up in lower case; with any other, texts are encoded whole. A full stop or comma at the end of a
     word ending in a letter is a piece of its own; this saves encoding most words twice.
     """
 
@@ -51,6 +65,7 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
+        self.short_way = by_words(json.loads(self.tokenizer.to_str()))
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encoded(self, word: bytes) -> bytes:
@@ -74,6 +89,8 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str | None) -> bytes:
+        if not self.short_way:
+            return array("I" if self.wide else "H", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
         data = (text or "").encode()
         low = data.lower()
         if any(s in low for s in self.special):  # a special token counts only as written
@@ -103,7 +120,7 @@ class ShardWriter:
 
     def __init__(self, sink, kind: np.dtype, length: int, batch: int = 256) -> None:
         self.length, self.batch, self.kind = length, batch, kind
-        self.schema = pa.schema([pa.field("ids", _list_type(pa.from_numpy_dtype(kind), length), nullable=False), pa.field("mask", _list_type(pa.bool_(), length), nullable=False)])
+        self.schema = pa.schema([pa.field("ids", _list_type(pa.from_numpy_dtype(kind), length), nullable=False), pa.field("mask", _list_type(pa.uint8(), length), nullable=False)])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting, self.n = bytearray(), 0
 
@@ -119,7 +136,7 @@ class ShardWriter:
             del self.waiting[:whole]
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).astype(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip((ids, mask), self.schema)]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -148,10 +165,10 @@ class Shard:
         return self.batches[k]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids (zero-copy) and mask of sequence k."""
+        """ids and mask of sequence k, both views of the file's buffers."""
         b, row = self._batch(k // self.batch), k % self.batch
         part = slice(row * self.length, (row + 1) * self.length)
-        return b.column("ids").flatten().to_numpy(zero_copy_only=True)[part], b.column("mask").flatten().to_numpy(zero_copy_only=False)[part]
+        return b.column("ids").flatten().to_numpy(zero_copy_only=True)[part], b.column("mask").flatten().to_numpy(zero_copy_only=True)[part].view(bool)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """ids start .. start + n - 1 of the shard: a view if they lie in one batch."""

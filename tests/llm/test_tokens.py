@@ -57,7 +57,9 @@ def test_sequences_and_masks_are_random_access(docs, texts):
 
 
 @pytest.mark.parametrize("window", [16, 256])
-def test_packing_covers_every_id_once(docs, texts, window):
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_packing_covers_every_id_once(docs, texts, window, tasks):
+    docs = docs.coalesce(tasks)
     got = packing.pack(docs, PATH, end_id=1, window=window, with_ids=True).collect()
     by_sequence = {}
     for r in got:
@@ -71,7 +73,7 @@ def test_packing_covers_every_id_once(docs, texts, window):
             at += r["length"]
         assert at <= window
         short += at < window
-    assert short <= 1
+    assert short <= docs.rdd.getNumPartitions() <= tasks  # one sequence of each block is padded
     pieces = {}
     for r in got:
         pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
@@ -100,5 +102,29 @@ def test_least_squares_uses_up_a_histogram_made_of_combinations():
         for v in row[row > 0]:
             made[v] += n
     assert (x >= 0).all() and np.abs(made - target).max() < 1
-    plan = packing.plan({i: int(target[i]) for i in range(64) if target[i]}, 64)
-    assert plan.tail >= 125 and sum(j - i for _, i, j, *_ in plan.places) >= 0.9 * target.sum()
+    lengths = np.repeat(np.arange(64), target.astype(int))
+    np.random.default_rng(3).shuffle(lengths)
+    sequence, offset, used = packing.place(lengths, 64)
+    assert used == -(-lengths.sum() // 64) and (offset + lengths <= 64).mean() >= 0.9
+    taken = np.zeros(64 * (used + 1), int)
+    for s, o, n in zip(sequence, offset, lengths):
+        taken[64 * s + o : 64 * s + o + n] += 1
+    assert taken.max() == 1 and taken.sum() == lengths.sum()
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "Two  Words, it's 42.\n\tNaïve <|endoftext|> ÀB"
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    seen = set()
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".json"):
+            ids_of = tokens.WordIds(f"{folder}/{name}")
+            seen.add(ids_of.short_way)
+            ids = np.frombuffer(ids_of.of(text), ids_of.type).tolist()
+            assert ids == Tokenizer.from_file(f"{folder}/{name}").encode(text, add_special_tokens=False).ids, name
+    assert tokens.WordIds(public_tokenizers.path("word_bpe_49k.json")).short_way and True in seen
