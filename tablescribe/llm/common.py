@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -12,25 +9,13 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescribe.operators import graph
+from tablescribe.sources.scratch import shared_folder
+
 #: A word of a text, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is missing, a local session gets a temporary folder and the setting filled in; on a cluster
-    that is an error, since executors wouldn't see the driver's folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tablescribe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tablescribe-{uuid.uuid4().hex}"
-
-
 #: Tables that written() has made inside of `with tables_of(owner)`, by owner.
 _TABLES: dict[str, list[str]] = {}
 _owner: ContextVar[str | None] = ContextVar("owner", default=None)
@@ -72,25 +57,5 @@ def word_count(text: str) -> Column:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of the undirected edges (a, b): rows (node, root), root the smallest node reachable.
-
-    Large-star and small-star rounds: every round is two group minima and two joins, so a node of any
-    degree is only ever aggregated, never collected, and the number of edges doesn't grow. Rounds end
-    when the edge set no longer changes. Edges with a null end and loops are left out.
-    """
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges"
-    )
-    before = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = written(small, "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    """Connected components (node, root) of the undirected edges (a, b), their working tables among the owner's."""
+    return graph.components(edges, a, b, keep=written)
