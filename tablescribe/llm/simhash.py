@@ -120,6 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bits of a segment, and how many segments in a row a chain has.
 _SEGMENT, _CHAIN = 11, 2
+#: Longs of a fingerprint that a candidate carries with it.
+_HEAD = 2
 #: Buckets of the filters that go to every task: at most so many numbers, whatever the input.
 _BUCKETS = 1 << 20
 
@@ -149,17 +151,15 @@ def long_fingerprint(text: str | None, shingle: int, longs: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
-def chain_keys(fp: str, longs: int) -> Column:
-    """A key for each chain: where it starts on the ring, and the bits of its segments."""
-    n, width = 64 * longs // _SEGMENT, _SEGMENT * _CHAIN
-
-    def bits(first: int, size: int) -> Column:
-        first %= n * _SEGMENT
-        size_here = min(size, 64 - first % 64, n * _SEGMENT - first)
-        here = _part(F.element_at(fp, first // 64 + 1), first % 64, size_here)
-        return here if size_here == size else here.bitwiseOR(F.shiftleft(bits(first + size_here, size - size_here), size_here))
-
-    return F.array(*[F.lit(k << width).cast("long").bitwiseOR(bits(k * _SEGMENT, width)) for k in range(n)])
+def chain_keys(fp: np.ndarray) -> np.ndarray:
+    """Keys of fingerprints (a row each): for each chain where it starts on the ring, and the bits of its segments."""
+    bits = np.unpackbits(fp.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+    n = bits.shape[1] // _SEGMENT
+    segments = bits[:, : n * _SEGMENT].reshape(len(fp), n, _SEGMENT) @ (1 << np.arange(_SEGMENT, dtype=np.int64))
+    keys = np.broadcast_to(np.arange(n, dtype=np.int64), segments.shape)
+    for k in range(_CHAIN):
+        keys = (keys << _SEGMENT) | np.roll(segments, -k, axis=1)
+    return keys
 
 
 def bits_apart(similarity: float, longs: int) -> int:
@@ -176,11 +176,11 @@ def _in_buckets(df: DataFrame, key: str, rows: DataFrame, how: str) -> DataFrame
 
 
 def similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int, similarity: float, longs: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose fingerprints are near enough, and whose texts then reach the
+    """Of the distinct pairs (a, b) of nodes those whose fingerprints are near enough, and whose texts then reach the
     Jaccard similarity. prints: (node, fp, row), texts: (row, text)."""
     near = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("row").alias("ra")), "a")
     near = near.join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("row").alias("rb")), "b")
-    apart = sum((F.bit_count(F.element_at("fa", i).bitwiseXOR(F.element_at("fb", i))) for i in range(2, longs + 1)), F.bit_count(F.element_at("fa", 1).bitwiseXOR(F.element_at("fb", 1))))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
     near = written(near.where(apart <= bits_apart(similarity, longs)).select("a", "b", "ra", "rb"), "near")
 
     @F.pandas_udf("boolean")
@@ -213,27 +213,39 @@ def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similar
         for texts in batches:
             yield pd.Series([long_fingerprint(t, shingle, longs) for t in texts])
 
+    @F.pandas_udf("array<long>")
+    def chains(prints: pd.Series) -> pd.Series:
+        return pd.Series([k for i in range(0, len(prints), 1000) for k in chain_keys(np.stack(prints.iloc[i : i + 1000]))], dtype=object)
+
     texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     prints = written(texts.select("row", fingerprints("text").alias("fp")), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", F.explode(chain_keys("fp", longs)).alias("key"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each node becomes many keys: small tasks
+    keys = nodes.select("node", "fp").repartition(parts).select("node", F.explode(chains("fp")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    members = written(keys.join(shared, "key").withColumn("group", F.col("node")), "members")
+    # the chain goes on over the first 128 bits: few of the pairs that meet by chance get past them
+    head = nodes.select("node", *[F.element_at("fp", i + 1).alias(f"h{i}") for i in range(_HEAD)])
+    members = written(keys.join(shared, "key").join(head, "node").withColumn("group", F.col("node")), "members")
+    chained = sum((F.bit_count(F.col(f"h{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(1, _HEAD)), F.bit_count(F.col("h0").bitwiseXOR(F.col("o0")))) <= bits_apart(similarity, _HEAD)
+    other = [F.col(f"h{i}").alias(f"o{i}") for i in range(_HEAD)]
     links = None
     for k in range(rounds + 1):
-        mixed = F.xxhash64("group", F.lit(k))
-        leaders = members.groupBy("key").agg(F.min_by(F.struct(F.col("group").alias("leader_group"), F.col("node").alias("leader")), F.struct(mixed, "node")).alias("l"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+        order = F.struct(F.xxhash64("group", F.lit(k)) if k else F.col("group"), F.col("node"))
+        leaders = members.groupBy("key").agg(F.min_by(F.struct(F.col("group").alias("leader_group"), F.col("node").alias("leader"), *other), order).alias("l"), F.min("group").alias("g0"), F.max("group").alias("g1"))
         leaders = leaders.where("g0 < g1").select("key", "l.*")
         if k < rounds:
-            pairs = members.join(leaders, "key").where("group != leader_group").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            pairs = members.join(leaders, "key").where((F.col("group") != F.col("leader_group")) & chained).select(F.col("node").alias("a"), F.col("leader").alias("b"))
         else:
             open_members = members.join(leaders.select("key"), "key", "left_semi")
-            pairs = open_members.join(open_members.select("key", F.col("node").alias("b"), F.col("group").alias("other")), "key").where("node < b and group != other").select(F.col("node").alias("a"), "b")
+            others = open_members.select("key", F.col("node").alias("b"), F.col("group").alias("other"), *other)
+            pairs = open_members.join(others, "key").where((F.col("node") < F.col("b")) & (F.col("group") != F.col("other")) & chained).select(F.col("node").alias("a"), "b")
         found = similar(pairs.distinct(), nodes, texts, shingle, similarity, longs)
-        links = found if links is None else written(links.unionAll(found), "links")
+        if k < rounds:  # one link of a node will do: groups still apart are compared again
+            found = found.groupBy("a").agg(F.min("b").alias("b"))
+        links = written(found if links is None else links.unionAll(found), "links")
         roots = components(links).withColumnRenamed("root", "new")
         if k < rounds:
-            members = written(members.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("new", "node").alias("group")), "members")
+            members = written(members.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").withColumn("group", F.coalesce("new", "node")).drop("__n", "new"), "members")
     placed = nodes.join(roots, "node", "left").select("fp", "row", F.coalesce("new", "node").alias("group"))
     least = placed.groupBy("group").agg(F.min("row").alias("least"))
     return prints.join(placed.join(least, "group").select("fp", "least"), "fp").select("row", "least")
