@@ -107,13 +107,13 @@ def test_chains_find_pairs_at_the_limit():
     for _ in range(n):
         same = [r.getrandbits(40) for _ in range(160)]
         a, b = (" ".join(str(x) for x in same + [r.getrandbits(40) for _ in range(20)]) for _ in range(2))
-        fa, fb = (simhash.long_fingerprint(t, 1, 32) for t in (a, b))
+        fa, fb = (simhash.long_fingerprint(t, 1, 44) for t in (a, b))
         bits = [int(x) ^ int(y) for x, y in zip(fa.view("uint64"), fb.view("uint64"))]
-        apart = [sum(bits[p // 64] >> p % 64 & 1 for p in range(k * 11, k * 11 + 11)) for k in range(186)]
-        common = any(apart[k] == 0 == apart[(k + 1) % 186] for k in range(186))
+        apart = [sum(bits[p // 64] >> p % 64 & 1 for p in range(k * 12, k * 12 + 12)) for k in range(234)]
+        common = any(apart[k] == 0 == apart[(k + 1) % 234] for k in range(234))
         assert common == bool(set(simhash.chain_keys(fa[None])[0].tolist()) & set(simhash.chain_keys(fb[None])[0].tolist()))
         hits += common
-        near += sum(x.bit_count() for x in bits) <= simhash.bits_apart(0.8, 32)
+        near += sum(x.bit_count() for x in bits) <= simhash.bits_apart(0.8, 44)
     assert hits >= 0.97 * n and near >= 0.99 * n
 
 
