@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescribe.llm import lines, mixing, multi_index, packing, ppm, repeats, secret_scan, simhash, tokens, toxicity
+from tablescribe.llm import alignment, conversations, html_text, lines, mixing, multi_index, packing, ppm, repeats, secret_scan, simhash, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +57,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op3_embedding_near_duplicates, op4_simhash_near_duplicates, op5_secret_scan, op6_pack_windows, op7_ppm_scores, op8_mix_sources, op9_remove_repeats, op10_toxicity)}
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, PIECES)
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
+def op13_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_token_shards, op3_embedding_near_duplicates, op4_simhash_near_duplicates, op5_secret_scan, op6_pack_windows, op7_ppm_scores, op8_mix_sources, op9_remove_repeats, op10_toxicity, op11_align_tokenizers, op12_repair_conversations, op13_extract_html)}
 
 
 def _pattern(p: str) -> str:
