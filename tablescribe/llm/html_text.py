@@ -16,6 +16,7 @@ grows with its length.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,10 +51,11 @@ _NEGATED = frozenset(("has", "no", "not", "with", "without", "hide"))
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "unseen", "aside", "article", "header", "candidate", "weight")
+    __slots__ = ("tag", "parent", "depth", "unseen", "aside", "article", "header", "candidate", "weight", "index", "upto")
 
-    def __init__(self, tag: str, parent: Element | None, attrs: list[tuple[str, str | None]]) -> None:
+    def __init__(self, tag: str, parent: Element | None, attrs: list[tuple[str, str | None]], index: int = 0) -> None:
         self.tag, self.parent, self.weight = tag, parent, 0
+        self.index = self.upto = index  # of the elements in page order: this one, the last one inside of it
         if parent is None:
             self.depth, self.unseen, self.aside, self.article, self.header = 0, False, False, False, False
         else:
@@ -117,6 +119,8 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.top = Element("", None, [])
         self.block = self.top
+        self.elements = [self.top]
+        self.open: Counter[str] = Counter()
         self.lines: list[Line] = []
         self.pieces: list[str] = []
         self.links = self.tags = self.in_link = 0
@@ -135,6 +139,7 @@ class PageReader(HTMLParser):
         while True:
             if e.tag in _BLOCKS:
                 self._end_line()
+            self.open[e.tag] -= 1
             if e.tag == "a":
                 self.in_link -= 1
             if e is upto:
@@ -157,12 +162,11 @@ class PageReader(HTMLParser):
                     self._close(e)
                     break
                 e = e.parent
-        e = self.top
-        while e.parent is not None and tag not in _IN_HEAD:  # an element of the body ends the head
-            if e.tag == "head":
-                self._close(e)
-                break
-            e = e.parent
+        if self.open["head"] and tag not in _IN_HEAD:  # an element of the body ends the head
+            e = self.top
+            while e.tag != "head":
+                e = e.parent
+            self._close(e)
         if tag in _BLOCKS:  # and a block ends the paragraph
             e = self.top
             while e.parent is not None and (e.tag not in _BLOCKS or e.tag == "p"):
@@ -188,7 +192,9 @@ class PageReader(HTMLParser):
             self.pieces.append(" ")
         if tag == "a":
             self.in_link += 1
-        self.top = Element(tag, self.top, attrs)
+        self.top = Element(tag, self.top, attrs, len(self.elements))
+        self.elements.append(self.top)
+        self.open[tag] += 1
         if tag in _BLOCKS or self.top.aside != self.block.aside or self.top.header != self.block.header:
             if tag not in _BLOCKS:
                 self._end_line()  # an inline advert or notice is a line of its own
@@ -202,6 +208,8 @@ class PageReader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         block = tag in _BLOCKS
+        if not self.open[tag]:
+            return
         e = self.top
         while e.parent is not None:
             if e.tag == tag:
@@ -241,29 +249,26 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, weights)[here] / np.convolve(np.ones(len(ratios)), weights)[here]
 
 
-def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines of the article, in page order."""
+def main_lines(lines: list[Line], elements: list[Element]) -> list[Line]:
+    """The lines of the article, in page order. elements: of the page in order, the whole page first."""
     inside = [x for x in lines if not x.out()]
     if not inside:
         return []
     ratios = smoothed(np.array([x.ratio for x in lines]))
     least = ratios.std()
     content = [x for x, r in zip(lines, ratios) if r >= least and not x.out() and 2 * x.links < len(x.text)] or inside
-    total = 0
-    held: dict[int, Element] = {}
     for x in content:
-        size, e = max(1, len(x.text) - x.links), x.block
-        total += size
-        while e is not None:
-            e.weight += size
-            held[id(e)] = e
-            e = e.parent
+        x.block.weight += max(1, len(x.text) - x.links)
+    for e in reversed(elements[1:]):
+        e.parent.weight += e.weight
+        e.parent.upto = max(e.parent.upto, e.upto)
+    total = elements[0].weight
     for kind, share in ((2, 0.0), (1, 0.5)):
-        best = [e for e in held.values() if e.candidate == kind and not e.aside]
+        best = [e for e in elements if e.candidate == kind and e.weight and not e.aside]
         if best and (most := max(e.weight for e in best)) > share * total:
             article = max((e for e in best if 2 * e.weight > most), key=lambda e: (e.depth, e.weight))
             return [x for x in inside if _within(x.block, article)]
-    around = [e for e in held.values() if e.weight == total and e.tag in _SECTIONS]
+    around = [e for e in elements if e.weight == total and e.tag in _SECTIONS]
     article = max(around, key=lambda e: e.depth, default=None)
     beside = {id(x.block.parent) for x in content}
     chosen = {id(x) for x in content}
@@ -271,14 +276,13 @@ def main_lines(lines: list[Line]) -> list[Line]:
     return [x for k, x in enumerate(lines) if not x.out() and (article is None or _within(x.block, article)) and (at[0] <= k <= at[-1] or id(x.block.parent) in beside and 2 * x.links < len(x.text))]
 
 
-def _within(e: Element | None, article: Element) -> bool:
-    while e is not None and e.depth > article.depth:
-        e = e.parent
-    return e is article
+def _within(e: Element, article: Element) -> bool:
+    return article.index <= e.index <= article.upto
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(x.text for x in main_lines(PageReader().read(html))) if html else ""
+    page = PageReader()
+    return "\n".join(x.text for x in main_lines(page.read(html), page.elements)) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
