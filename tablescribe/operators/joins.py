@@ -124,6 +124,14 @@ def nearest_word(words: DataFrame, vocabulary: DataFrame, most: int) -> DataFram
     return pairs.groupBy("word").agg(F.min(F.struct("edits", "other")).alias("b")).select("word", F.col("b.other").alias("nearest"), F.col("b.edits").alias("edits"))
 
 
+def words_within(words: DataFrame, others: DataFrame, most: int) -> DataFrame:
+    """(word, other, edits): all pairs of distinct words (word) and (other) within `most` edits, equal ones included."""
+    w = words.where("word is not null").select("word").distinct().select("word", F.inline(_pieces("word", most, True)))
+    v = others.where("other is not null").select("other").distinct().select("other", F.inline(_pieces("other", most, False)))
+    pairs = w.join(v, ["n", "i", "piece"]).select("word", "other").distinct()
+    return pairs.withColumn("edits", F.levenshtein("word", "other", most)).where("edits >= 0")
+
+
 def vocabulary_share(docs: DataFrame, id_col: str, words: Column, vocabulary: DataFrame) -> DataFrame:
     """Distinct words of each document and how many of them are in the vocabulary (word)."""
     each = docs.select(id_col, F.explode(F.array_distinct(words)).alias("word"))

@@ -1,6 +1,6 @@
 """All table queries and their SQL."""
 
-from tablescribe.plans import boxes, numbers, pages, queries, rows, scores, series, shapes  # noqa: F401  they register themselves
+from tablescribe.plans import boxes, headers, numbers, pages, queries, rows, scores, series, shapes  # noqa: F401  they register themselves
 from tablescribe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
