@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescribe.functions.numbers import iou
-from tablescribe.operators.joins import meeting_bucket, point_keys, range_keys
+from tablescribe.operators.joins import box_keys, meeting_keys, meeting_square, point_keys, point_squares, range_keys
 
 SIDES = ("x0", "y0", "x1", "y1")
 
@@ -29,8 +29,8 @@ def _renamed(df: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
 def centre_in(points: DataFrame, cells: DataFrame, by: Sequence[str], width: float) -> DataFrame:
     """Pairs of a box and the cell that its centre lies in: columns of points as p_..., of cells as c_..."""
     p = _renamed(points, by, "p_").withColumns({"__x": (F.col("p_x0") + F.col("p_x1")) / 2, "__y": (F.col("p_y0") + F.col("p_y1")) / 2})
-    p = p.withColumn("__b", F.explode(point_keys(F.col("__x"), width)))
-    c = _renamed(cells, by, "c_").withColumn("__b", F.explode(range_keys(F.col("c_x0"), F.col("c_x1"), width)))
+    p = p.withColumn("__b", F.explode(point_squares(F.col("__x"), F.col("__y"), width)))
+    c = _renamed(cells, by, "c_").withColumn("__b", F.explode(box_keys(_sides("c_"), width)))
     inside = (F.col("__x") >= F.col("c_x0")) & (F.col("__x") < F.col("c_x1")) & (F.col("__y") >= F.col("c_y0")) & (F.col("__y") < F.col("c_y1"))
     return p.join(c, [*by, "__b"]).where(inside).drop("__b", "__x", "__y")
 
@@ -46,13 +46,19 @@ def text_of_cells(words: DataFrame, cells: DataFrame, by: Sequence[str], cell: S
     return pairs.groupBy(*by, *[F.col(f"c_{c}").alias(c) for c in cell]).agg(F.count("*").alias("words"), joined.alias("text"))
 
 
+def overlap_candidates(a: DataFrame, b: DataFrame, by: Sequence[str], width: float) -> DataFrame:
+    """Pairs of boxes as a_... and b_... that share a square bucket at the level of the longer one, with the bucket (k). Pick width near
+    a usual side: on spread boxes few pairs more than those that overlap."""
+    x = _renamed(a, by, "a_").withColumn("__b", F.explode(meeting_keys(lambda which: box_keys(_sides("a_"), width, which), True)))
+    y = _renamed(b, by, "b_").withColumn("__b", F.explode(meeting_keys(lambda which: box_keys(_sides("b_"), width, which), False)))
+    return x.join(y, [*by, "__b"]).withColumn("__b", F.col("__b.k"))
+
+
 def overlapping(a: DataFrame, b: DataFrame, by: Sequence[str], width: float) -> DataFrame:
-    """Pairs of boxes that overlap, as a_... and b_..., each once."""
-    x = _renamed(a, by, "a_").withColumn("__b", F.explode(range_keys(F.col("a_x0"), F.col("a_x1"), width, True)))
-    y = _renamed(b, by, "b_").withColumn("__b", F.explode(range_keys(F.col("b_x0"), F.col("b_x1"), width, True)))
-    once = meeting_bucket((F.col("a_x0"), F.col("a_x1")), (F.col("b_x0"), F.col("b_x1")), F.col("__b"), width)
+    """Pairs of boxes that overlap, as a_... and b_..., each once; boxes with null or reversed sides overlap nothing."""
+    once = meeting_square(_sides("a_"), _sides("b_"), F.col("__b"), width)
     meet = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
-    return x.join(y, [*by, "__b"]).where(meet & once).drop("__b")
+    return overlap_candidates(a, b, by, width).where(meet & once).drop("__b")
 
 
 def overlap_mean(cells: DataFrame, boxes: DataFrame, by: Sequence[str], cell: Sequence[str], value: str, width: float) -> DataFrame:
@@ -123,9 +129,10 @@ def split_and_merge(truth: DataFrame, found: DataFrame, by: Sequence[str], id_co
     """(by, side, id, n): for every truth box how many found ones meet it (more than one: split), and the other way round
     (more than one: merged)."""
     pairs = iou_pairs(truth, found, by, least, width)
-    count = lambda k: pairs.groupBy(*by, F.col(f"{k}_{id_col}").alias(id_col)).agg(F.count("*").alias("n"))
-    side = lambda df, k, name: df.select(*by, id_col).join(count(k), [*by, id_col], "left").select(*by, F.lit(name).alias("side"), id_col, F.coalesce("n", F.lit(0)).alias("n"))
-    return side(truth, "a", "truth").unionAll(side(found, "b", "found"))
+    ends = F.array(F.struct(F.lit("truth").alias("side"), F.col(f"a_{id_col}").alias(id_col)), F.struct(F.lit("found").alias("side"), F.col(f"b_{id_col}").alias(id_col)))
+    counts = pairs.select(*by, F.inline(ends)).groupBy(*by, "side", id_col).agg(F.count("*").alias("n"))  # the pairs are made once
+    all_boxes = truth.select(*by, F.lit("truth").alias("side"), id_col).unionAll(found.select(*by, F.lit("found").alias("side"), id_col))
+    return all_boxes.join(counts, [*by, "side", id_col], "left").select(*by, "side", id_col, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def first_block(regions: DataFrame, blocks: DataFrame, by: Sequence[str], id_col: str, least: float, width: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,64 @@ def point_keys(at: Column, width: float) -> Column:
     return F.when(at.isNotNull(), F.transform(levels, lambda k: F.struct(k.alias("l"), _bucket(at, k, width).alias("b"))))
 
 
-def range_keys(lo: Column, hi: Column, width: float, every: bool = False) -> Column:
-    """The buckets (l, b) that an interval touches at its own level, or with `every` at that and all coarser ones: a
+def range_keys(lo: Column, hi: Column, width: float, which: str = "own") -> Column:
+    """The buckets (l, b) that an interval touches at its "own" level, at the "coarse" ones above it, or at "all" of these: a
     bounded number however long it is. None where a bound is null or lo is above hi."""
     own = _level(lo, hi, width)
-    levels = F.sequence(own, F.lit(_LEVELS - 1)) if every else F.array(own)
+    last = F.lit(_LEVELS - 1)
+    coarse = F.when(own < last, F.sequence(own + 1, last)).otherwise(F.array().cast("array<int>"))
+    levels = {"own": F.array(own), "coarse": coarse, "all": F.sequence(own, last)}[which]
     at = lambda k: F.transform(F.sequence(_bucket(lo, k, width), _bucket(hi, k, width)), lambda b: F.struct(k.alias("l"), b.alias("b")))
     return F.when(lo <= hi, F.flatten(F.transform(levels, at)))
 
 
+def meeting_keys(keys: Callable[[str], Column], left: bool) -> Column:
+    """Keys of which two intervals (or boxes) share those at which one of them is at its own level: a's own with b's at all
+    levels, and a's coarser ones with b's own. Two short ones don't meet in the wide buckets above them."""
+    tagged = lambda which, side: F.transform(keys(which), lambda k: F.struct(F.lit(side).alias("t"), k.alias("k")))
+    return F.concat(tagged("own", 0), tagged("coarse", 1)) if left else F.concat(tagged("all", 0), tagged("own", 1))
+
+
+#: Levels of square buckets, each this many times wider than the one below.
+_BOX_GROWTH, _BOX_LEVELS = 8.0, 6
+
+
+def _box_level(box: Sequence[Column], width: float) -> Column:
+    longer = F.greatest(box[2] - box[0], box[3] - box[1])
+    out = F.lit(_BOX_LEVELS - 1)
+    for k in reversed(range(_BOX_LEVELS - 1)):
+        out = F.when(longer <= width * _BOX_GROWTH**k, k).otherwise(out)
+    return out
+
+
+def _square(x: Column, level: Column, width: float) -> Column:
+    return F.floor(x / (width * F.pow(F.lit(_BOX_GROWTH), level)))
+
+
+def box_keys(box: Sequence[Column], width: float, which: str = "own") -> Column:
+    """The square buckets (l, x, y) that a box (x0, y0, x1, y1) touches at its own level (four at most, unless it is longer than
+    the widest), at the coarser ones, or at all. None for null or reversed sides."""
+    own, last = _box_level(box, width), F.lit(_BOX_LEVELS - 1)
+    coarse = F.when(own < last, F.sequence(own + 1, last)).otherwise(F.array().cast("array<int>"))
+    levels = {"own": F.array(own), "coarse": coarse, "all": F.sequence(own, last)}[which]
+    side = lambda lo, hi, k: F.sequence(_square(lo, k, width), _square(hi, k, width))
+    at = lambda k: F.flatten(F.transform(side(box[0], box[2], k), lambda x: F.transform(side(box[1], box[3], k), lambda y: F.struct(k.alias("l"), x.alias("x"), y.alias("y")))))
+    return F.when((box[0] <= box[2]) & (box[1] <= box[3]), F.flatten(F.transform(levels, at)))
+
+
+def point_squares(x: Column, y: Column, width: float) -> Column:
+    """The square bucket (l, x, y) of a point at every level; none for null."""
+    levels = F.array(*[F.lit(k) for k in range(_BOX_LEVELS)])
+    return F.when(x.isNotNull() & y.isNotNull(), F.transform(levels, lambda k: F.struct(k.alias("l"), _square(x, k, width).alias("x"), _square(y, k, width).alias("y"))))
+
+
+def meeting_square(a: Sequence[Column], b: Sequence[Column], key: Column, width: float) -> Column:
+    """Whether key is the one square in which two boxes that overlap are to be reported."""
+    level = F.greatest(_box_level(a, width), _box_level(b, width))
+    corner = [_square(F.greatest(a[i], b[i]), level, width) for i in (0, 1)]
+    return (key["l"] == level) & (key["x"] == corner[0]) & (key["y"] == corner[1])
+
+
 def meeting_bucket(a: tuple[Column, Column], b: tuple[Column, Column], key: Column, width: float) -> Column:
     """Whether key is the one bucket in which a pair of intervals that overlap is to be reported: at the coarser of their
     levels, where the later one starts."""
@@ -64,10 +115,10 @@ def points_in_ranges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi:
 def overlaps(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: float) -> DataFrame:
     """Pairs of half-open intervals that overlap, each once; empty, reversed and null intervals overlap nothing."""
     k = _free("__k", a, b)
-    x = a.withColumn(k, F.explode(range_keys(*map(F.col, a_range), width, True)))
-    y = b.withColumn(k, F.explode(range_keys(*map(F.col, b_range), width, True)))
+    x = a.withColumn(k, F.explode(meeting_keys(lambda which: range_keys(*map(F.col, a_range), width, which), True)))
+    y = b.withColumn(k, F.explode(meeting_keys(lambda which: range_keys(*map(F.col, b_range), width, which), False)))
     meet = (F.col(a_range[0]) < F.col(b_range[1])) & (F.col(b_range[0]) < F.col(a_range[1])) & (F.col(a_range[0]) < F.col(a_range[1])) & (F.col(b_range[0]) < F.col(b_range[1]))
-    once = meeting_bucket(tuple(map(F.col, a_range)), tuple(map(F.col, b_range)), F.col(k), width)
+    once = meeting_bucket(tuple(map(F.col, a_range)), tuple(map(F.col, b_range)), F.col(k)["k"], width)
     return x.join(y, [*by, k]).where(meet & once).drop(k)
 
 
@@ -76,8 +127,8 @@ def anti_union(a: DataFrame, b: DataFrame, by: list[str], lo: str, hi: str, widt
     nothing, so they stay). Repeated rows of a stay as often as they stand there."""
     k, row, low, high = (_free(n, a, b) for n in ("__k", "__row", "__lo", "__hi"))
     whole = F.struct(*[F.col(f"`{c}`") for c in a.columns])
-    y = b.select(*by, F.col(lo).alias(low), F.col(hi).alias(high)).withColumn(k, F.explode(range_keys(F.col(low), F.col(high), width, True)))
-    tagged = a.withColumn(row, whole).withColumn(k, F.explode(range_keys(F.col(lo), F.col(hi), width, True)))
+    y = b.select(*by, F.col(lo).alias(low), F.col(hi).alias(high)).withColumn(k, F.explode(meeting_keys(lambda which: range_keys(F.col(low), F.col(high), width, which), False)))
+    tagged = a.withColumn(row, whole).withColumn(k, F.explode(meeting_keys(lambda which: range_keys(F.col(lo), F.col(hi), width, which), True)))
     meet = (F.col(lo) < F.col(high)) & (F.col(low) < F.col(hi)) & (F.col(lo) < F.col(hi)) & (F.col(low) < F.col(high))
     met = tagged.join(y, [*by, k]).where(meet).select(F.col(row).alias("__met")).distinct()
     rest = a.withColumn(row, whole).join(met, F.col(row) == F.col("__met"), "left_anti").select(*a.columns)

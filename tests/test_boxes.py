@@ -101,3 +101,18 @@ def test_components_and_dense_labels(spark):
     assert graph.components(edges.where("false")).count() == 0
     labels = spark.createDataFrame([("d", "x", 3), ("d", "y", 1), ("d", "x", 0), ("d", None, 9)], "d string, l string, o int")
     assert {r["l"]: r["dense"] for r in graph.dense_labels(labels, ["d"], "l", ["o"]).collect()} == {"x": 0, "y": 1, None: 2}
+
+
+def test_overlapping_boxes_and_their_candidates(spark):
+    r = random.Random(9)
+    sizes = [1, 5, 20, 60, 900]
+    rows = lambda n: [("p%d" % (i % 2), i, float(x), float(y), float(x + r.choice(sizes)), float(y + r.choice(sizes)), 0.5) for i in range(n) for x, y in [(r.randint(-300, 3000), r.randint(-300, 3000))]]
+    a, b = rows(150), rows(130)
+    odd = [("p0", 900, None, 1.0, 2.0, 3.0, 0.1), ("p0", 901, 9.0, 1.0, 2.0, 3.0, 0.1)]
+    want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[4] and y[2] < x[4] and x[3] < y[5] and y[3] < x[5])
+    da, db = spark.createDataFrame(a + odd, BOX), spark.createDataFrame(b + odd, BOX)
+    assert sorted((p["a_id"], p["b_id"]) for p in boxes.overlapping(da, db, ["page"], 20.0).collect()) == want
+    spread = [("p", i, float(x), float(y), float(x + 40), float(y + 30), 0.5) for i in range(4000) for x, y in [(r.randint(0, 4000), r.randint(0, 4000))]]
+    ds = spark.createDataFrame(spread, BOX)
+    met = boxes.overlapping(ds, ds, ["page"], 40.0).count()
+    assert boxes.overlap_candidates(ds, ds, ["page"], 40.0).count() <= 5 * met
