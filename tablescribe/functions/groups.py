@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablescribe.functions.names import DESCRIPTORS, FORM_WORDS, QUALIFIERS
+
 # Words that make a row a total or a footer, words of packs and qualifiers, and what a name is made of.
 NOT_GROUP = r"(?i)\b(sub\s*total|grand\s*total|total|amount|net\s*payable|payable|round(ed)?|discount|less|in\s*words|carried|brought|forward|continued|page|signature|prepared|authori[sz]ed|received|warranty|remarks?)\b"
 TOTAL_WORD = r"(?i)\b(sub\s*-?\s*total|grand\s*total|total)\b"
@@ -13,6 +15,8 @@ NAME = r"^[A-Za-z&\-/.,'’()\s]+$"
 NUMBER = r"^[\s(]*[-+]?[\d,]*\.?\d+\s*%?[)\s]*$"
 PACK_WORDS = ("PCS", "PC", "PIECES", "VIAL", "VIALS", "TUBE", "BOTTLE", "BOT", "STRIP", "STRIPS", "BOX", "PACK", "POT", "JAR", "SACHET", "SACHETS", "AMP", "AMPOULE")
 NOT_CATEGORY = (*PACK_WORDS, "TABS", "TAB", "CAPS", "CAP", "PIECE", "AMPS", "TUBES", "BOXES", "PACKS", "DOSE", "DOSES", "UNIT", "UNITS", "NOS", "EACH")
+#: Words that alone don't make a group: the tail of a wrapped item name.
+FRAGMENTS = tuple(dict.fromkeys((*FORM_WORDS, *DESCRIPTORS, *PACK_WORDS, *QUALIFIERS)))
 #: Sources of a cell that make its text sure.
 SURE = ("agreed", "vote", "api", "manual", "name")
 
@@ -48,7 +52,7 @@ def category_name(text: Column) -> Column:
     return F.when(t.rlike(NUMBERED), F.concat_ws(" ", digits, F.trim(F.regexp_extract(t, NUMBERED, 2)))).otherwise(t)
 
 
-def is_group_name(text: Column, fragments: tuple[str, ...]) -> Column:
+def is_group_name(text: Column, fragments: tuple[str, ...] = FRAGMENTS) -> Column:
     """Letters only, no total word, and more than forms, packs and qualifiers (fragments); or a numbered category."""
     t = squeezed(text)
     words = upper_words(t)
@@ -62,7 +66,7 @@ def is_stray(text: Column, source: Column) -> Column:
     return (s == "") | ((F.length(s) <= 4) & ~F.coalesce(source.isin(*SURE), F.lit(False)) & ~s.rlike("[A-Za-z]{2}"))
 
 
-def group_name_of(texts: Column, fragments: tuple[str, ...]) -> Column:
+def group_name_of(texts: Column, fragments: tuple[str, ...] = FRAGMENTS) -> Column:
     """The group name in a row of cells: it starts in the leftmost filled cell, has three cells at most, and every other
     filled cell is a stray; null otherwise. Neighbouring cells are joined by a space, others by a middle dot."""
     places = F.filter(F.sequence(F.lit(0), F.size(texts) - 1), lambda i: filled(F.get(texts, i)))
@@ -76,7 +80,7 @@ def group_name_of(texts: Column, fragments: tuple[str, ...]) -> Column:
     return F.when(right & is_group_name(F.replace(joined, F.lit(" · "), F.lit(" ")), fragments), joined)
 
 
-def inside_total(texts: Column, fragments: tuple[str, ...]) -> Column:
+def inside_total(texts: Column, fragments: tuple[str, ...] = FRAGMENTS) -> Column:
     """The group name left of the first cell with a total word; null if there is none."""
     at = F.array_position(F.transform(texts, lambda t: F.coalesce(t, F.lit("")).rlike(TOTAL_WORD)), True)
     lead = F.slice(texts, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 # Units of a size, words for pieces, and the words a pack column prints for one pack.
 SIZE_UNITS = "ML|MG|MCG|GM|G|KG|L|LTR|IU"
 PIECES = "PCS|PC|PIECES|PIECE|TAB|TABS|CAP|CAPS|SACHETS?|STRIPS?"
-PACK_WORDS = "VIAL|VIALS|TUBE|TUBES|BOTTLE|BOTTLES|BOT|BOX|BOXES|PCS|PC|PIECE|PIECES|POT|POTS|JAR|JARS|SACHET|SACHETS|STRIP|STRIPS|PACK|PACKS|PACKET|PACKETS|AMP|AMPS|AMPOULE|AMPOULES|CAN|CANS|TIN|TINS|KIT|KITS|SET|SETS"
+PACK_WORDS = "VIAL|VIALS|TUBE|TUBES|BOTTLE|BOTTLES|BOT|BOX|BOXES|PCS|PC|PIECE|PIECES|POT|POTS|JAR|JARS|SACHET|SACHETS|STRIP|STRIPS|PACK|PACKS|PACKET|PACKETS|AMP|AMPS|AMPOULE|AMPOULES|CAN|CANS|TIN|TINS|KIT|KITS|SET|SETS|ROLL|ROLLS|PAIR|PAIRS|UNIT|UNITS|EACH|NOS|BAG|BAGS|CARTON|CARTONS|DOZEN|PKT|BTL|CTN"
 _DIGIT = "[0-9OoIl|]"
 NAME_PACK = rf"(?:^|\s|\()((?:\d{_DIGIT}*\s*[xX×]\s*{_DIGIT}+(?:\s*[xX×]\s*{_DIGIT}+)?\s*['’]?[sS]?)|(?:\d{_DIGIT}*\s*['’][sS])|(?:\d{_DIGIT}*[sS])|(?:\d+\s*pcs)|(?:\d+(?:\.\d+)?\s*(?:ml|gm|g|kg|ltr|l)))\)?\s*$"
+NUMBERS = r"^([0-9OoIl|]+)(\s*[xX×]\s*)?([0-9OoIl|]*)(\s*[xX×]\s*)?([0-9OoIl|]*)"
 
 
 def printed(text: Column) -> Column:
@@ -63,9 +64,11 @@ def shape_score(text: Column) -> Column:
 
 
 def pack_at_end(name: Column) -> Column:
-    """The pack size that an item name ends with; null if none."""
+    """The pack size that an item name ends with, letters read for digits in its numbers as digits; null if none."""
     found = F.trim(F.regexp_extract(F.coalesce(name, F.lit("")), rf"(?i){NAME_PACK}", 1))
-    return F.when(found != "", found)
+    numbers = F.regexp_extract(found, NUMBERS, 0)
+    rest = F.substring(found, F.length(numbers) + 1, F.length(found))
+    return F.when(found != "", F.concat(F.translate(numbers, "OoIl|", "00111"), rest))
 
 
 def repaired_count(text: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescribe.operators.aggregates import upper_median
+
 
 def by_gap(df: DataFrame, by: Sequence[str], lo: str, hi: str, gap: float) -> DataFrame:
     """df with `part`, 1, 2, ...: a new one begins where a span starts more than `gap` after the furthest end so far."""
@@ -72,15 +74,17 @@ def widest_gap(df: DataFrame, by: Sequence[str], lo: str, hi: str) -> DataFrame:
     return gaps.groupBy(*by).agg(best.alias("b")).select(*by, (-F.col("b.s")).alias("start"), "b.gap")
 
 
-def theil_sen(points: DataFrame, by: Sequence[str], x: str, y: str, near: int) -> DataFrame:
-    """(by, slope, offset): median slope of each point and the `near` points after it in order of x, and the median of what
-    it leaves of y. Pairs grow with the points, not with their square."""
+def theil_sen(points: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """(by, slope, offset): the upper median (element n // 2) of the slopes between all points of a group with different x, and of
+    what it leaves of y. Pairs are made by a join and grow with the square of a group, which is one line's points; no group is
+    collected. Groups with one x only, and points with a null, have no slope."""
     w = Window.partitionBy(*by).orderBy(x, y)
-    ahead = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    laid = ahead.withColumns({f"__p{k}": F.struct(F.lead(x, k).over(w).alias("x"), F.lead(y, k).over(w).alias("y")) for k in range(1, near + 1)})
-    pairs = laid.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"), F.explode(F.array(*[f"__p{k}" for k in range(1, near + 1)])).alias("o"))
-    slopes = pairs.where(F.col("o.x") > F.col("__x")).groupBy(*by).agg(F.median((F.col("o.y") - F.col("__y")) / (F.col("o.x") - F.col("__x"))).alias("slope"))
-    return ahead.join(slopes, list(by)).groupBy(*by, "slope").agg(F.median(F.col(y) - F.col("slope") * F.col(x)).alias("offset"))
+    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    a, b = (rows.select(*by, F.col(x).alias(f"__x{k}"), F.col(y).alias(f"__y{k}"), F.row_number().over(w).alias(f"__n{k}")) for k in "ab")
+    slopes = a.join(b, list(by)).where("__nb > __na and __xb > __xa").select(*by, ((F.col("__ya") - F.col("__yb")) / (F.col("__xa") - F.col("__xb"))).alias("slope"))
+    slope = upper_median(slopes, list(by), "slope").withColumnRenamed("upper_median", "slope")
+    left = rows.join(slope, list(by)).select(*by, "slope", (F.col(y) - F.col("slope") * F.col(x)).alias("offset"))
+    return slope.join(upper_median(left, list(by), "offset").withColumnRenamed("upper_median", "offset"), list(by))
 
 
 def longest_run(df: DataFrame, by: Sequence[str], order: str, inside: Column, misses: int = 1) -> DataFrame:

@@ -11,7 +11,7 @@ from tablescribe.functions import groups, packs
 from tablescribe.functions.numbers import parse_number
 
 # What names an invoice's total, and spellings of quantity.
-SUMMARY_LINE = r"(?i)\b(total\s*trade\s*price|total\s*vat\b|less\s*discount|net\s*invoice\s*amount|total\s*invoice\s*amount|grand\s*total|net\s*total|total\s*payable|net\s*payable|amount\s*payable|adjustment\s*amount|(?:previous|total)\s*outstanding|amount\s+in\s+(?:words|figures|tk|taka)|in\s+words|invoice\s*amount\s*:)"
+SUMMARY_LINE = r"(?i)\b(total\s*trade\s*price|total\s*vat\b(?!\s*/)|less\s*discount|net\s*invoice\s*amount|total\s*invoice\s*amount|grand\s*total|net\s*total|total\s*payable|net\s*payable|amount\s*payable|adjustment\s*amount|(?:previous|total)\s*outstanding|amount\s+in\s+(?:words|figures|tk|taka)|in\s+words|invoice\s*amount\s*:)"
 SUB_TOTAL = r"(?i)\bsub\s*-?\s*total\b"
 QUANTITY_WORDS = ("qty", "qnt", "qnty", "qtty", "quantity", "quan", "qte", "invqty", "qy")
 

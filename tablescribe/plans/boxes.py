@@ -1,4 +1,4 @@
-"""Queries on boxes, made of the columns of part: a part is a box of 40 by 60, a brand is a page."""
+"""Queries on boxes, made of the columns of part: a part is a box of 40 by 60, a page is a brand's parts in 2,000 keys."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from tablescribe.plans.registry import query
 from tablescribe.sources.tables import table
 
 # The same expressions in both dialects.
-BOX = "p_brand AS page, p_partkey AS id, p_size * 4.0D AS x0, p_retailprice - 900 AS y0, p_size * 4.0D + 40 AS x1, p_retailprice - 900 + 60 AS y1, p_size % 7 / 7.0D AS confidence, p_name AS text"
-MOVED = "p_brand AS page, p_partkey AS id, p_size * 4.0D + p_partkey % 9 AS x0, p_retailprice - 900 + p_partkey % 13 AS y0, p_size * 4.0D + 40 + p_partkey % 9 AS x1, p_retailprice - 840 + p_partkey % 13 AS y1"
+PAGE = "p_brand || '-' || CAST(CAST(floor(p_partkey / 2000) AS BIGINT) AS STRING) AS page"
+BOX = f"{PAGE}, p_partkey AS id, p_size * 4.0D AS x0, p_retailprice - 900 AS y0, p_size * 4.0D + 40 AS x1, p_retailprice - 900 + 60 AS y1, p_size % 7 / 7.0D AS confidence, p_name AS text"
+MOVED = f"{PAGE}, p_partkey AS id, p_size * 4.0D + p_partkey % 9 AS x0, p_retailprice - 900 + p_partkey % 13 AS y0, p_size * 4.0D + 40 + p_partkey % 9 AS x1, p_retailprice - 840 + p_partkey % 13 AS y1"
 BOX_SQL = f"(SELECT {BOX.replace('0D', '0::DOUBLE')} FROM part)"
 MOVED_SQL = f"(SELECT {MOVED.replace('0D', '0::DOUBLE')} FROM part)"
-CELL_SQL = "(SELECT DISTINCT p_brand AS page, r AS row, c AS col, c * 55.0::DOUBLE AS x0, r * 300.0::DOUBLE AS y0, c * 55.0::DOUBLE + 50 AS x1, r * 300.0::DOUBLE + 250 AS y1 FROM part, (SELECT range::INT AS r FROM range(4)), (SELECT range::INT AS c FROM range(5)))"
+CELL_SQL = f"(SELECT DISTINCT {PAGE}, r AS row, c AS col, c * 55.0::DOUBLE AS x0, r * 300.0::DOUBLE AS y0, c * 55.0::DOUBLE + 50 AS x1, r * 300.0::DOUBLE + 250 AS y1 FROM part, (SELECT range::INT AS r FROM range(4)), (SELECT range::INT AS c FROM range(5)))"
 IOU_SQL = """(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))
  / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))"""
 
@@ -24,7 +25,7 @@ def _boxes(spark: SparkSession, sf_dir: str, what: str = BOX) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "part").select(F.col("p_brand").alias("page")).distinct()
+    pages = table(spark, sf_dir, "part").selectExpr(PAGE).distinct()
     grid = pages.select("page", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row")).select("page", "row", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col"))
     return grid.selectExpr("page", "row", "col", "col * 55.0D AS x0", "row * 300.0D AS y0", "col * 55.0D + 50 AS x1", "row * 300.0D + 250 AS y1")
 
@@ -83,16 +84,16 @@ def split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT a.page, a.id, min(b.id) AS block FROM {BOX_SQL} a LEFT JOIN (SELECT * FROM {MOVED_SQL} WHERE id % 3 = 0) b ON a.page = b.page AND {IOU_SQL} > 0.1 GROUP BY 1, 2""")
+SELECT a.page, a.id, min(b.id) AS block FROM {BOX_SQL} a LEFT JOIN {MOVED_SQL} b ON a.page = b.page AND {IOU_SQL} > 0.1 GROUP BY 1, 2""")
 def first_block_by_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.first_block(_boxes(spark, sf_dir).select("page", "id", *boxes.SIDES), _boxes(spark, sf_dir, MOVED).where("id % 3 = 0"), ["page"], "id", 0.1, 50.0)
+    return boxes.first_block(_boxes(spark, sf_dir).select("page", "id", *boxes.SIDES), _boxes(spark, sf_dir, MOVED), ["page"], "id", 0.1, 50.0)
 
 
 @query(f"""
-WITH b AS (SELECT a.page, a.id, max({IOU_SQL}) AS best FROM {BOX_SQL} a JOIN (SELECT * FROM {MOVED_SQL} WHERE id % 3 = 0) b ON a.page = b.page GROUP BY 1, 2)
+WITH b AS (SELECT a.page, a.id, max({IOU_SQL}) AS best FROM {BOX_SQL} a JOIN {MOVED_SQL} b ON a.page = b.page GROUP BY 1, 2)
 SELECT page, count(*) AS boxes, round(avg(coalesce(best, 0)), 6) AS mean FROM {BOX_SQL} LEFT JOIN b USING (page, id) GROUP BY 1""")
 def mean_best_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.best_iou(_boxes(spark, sf_dir).select("page", "id", *boxes.SIDES), _boxes(spark, sf_dir, MOVED).where("id % 3 = 0"), ["page"], "id", 50.0)
+    found = boxes.best_iou(_boxes(spark, sf_dir).select("page", "id", *boxes.SIDES), _boxes(spark, sf_dir, MOVED), ["page"], "id", 50.0)
     return found.withColumn("mean", F.round("mean", 6))
 
 
@@ -108,8 +109,8 @@ def union_box_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.union_box(_boxes(spark, sf_dir).withColumn("row", F.col("id") % 5), ["page", "row"])
 
 
-NARROW = "p_brand AS page, p_partkey AS id, p_size * 8.0D AS x0, p_size * 8.0D + 9 AS x1"
-NARROW_SQL = "(SELECT p_brand AS page, p_partkey AS id, p_size * 8.0::DOUBLE AS x0, p_size * 8.0::DOUBLE + 9 AS x1 FROM part)"
+NARROW = f"{PAGE}, p_partkey AS id, p_size * 8.0D AS x0, p_size * 8.0D + 9 AS x1"
+NARROW_SQL = f"(SELECT {PAGE}, p_partkey AS id, p_size * 8.0::DOUBLE AS x0, p_size * 8.0::DOUBLE + 9 AS x1 FROM part)"
 COVER_SQL = f"""(WITH e AS (SELECT page, x0 AS x FROM {NARROW_SQL} UNION SELECT page, x1 FROM {NARROW_SQL}), s AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS until FROM e)
 SELECT s.page, s.x, s.until, count(b.id) AS covered FROM s LEFT JOIN {NARROW_SQL} b ON b.page = s.page AND b.x0 <= s.x AND b.x1 > s.x WHERE until IS NOT NULL GROUP BY 1, 2, 3)"""
 
@@ -158,7 +159,9 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.reading_order(_boxes(spark, sf_dir).withColumn("line", F.floor(F.col("y0") / 60)), ["page"], "line").select("page", "id", "place")
 
 
-EDGE_SQL = "(SELECT DISTINCT l_orderkey % 3000 AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity = 1)"
+# An order, and an item that several orders may have at the same place.
+EDGE = ("l_orderkey AS a", "1000000000000 + l_partkey * 10000000 + l_suppkey * 10 + l_linenumber AS b")
+EDGE_SQL = f"(SELECT DISTINCT {EDGE[0]}, {EDGE[1]} FROM lineitem)"
 
 
 @query(f"""
@@ -166,7 +169,7 @@ WITH RECURSIVE e AS (SELECT a, b FROM {EDGE_SQL} UNION SELECT b, a FROM {EDGE_SQ
 r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b)
 SELECT node, least(min(root), node) AS root FROM r GROUP BY node""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity = 1").selectExpr("l_orderkey % 3000 AS a", "1000000 + l_suppkey AS b").distinct()
+    edges = table(spark, sf_dir, "lineitem").selectExpr(*EDGE).distinct()
     return graph.components(edges)
 
 

@@ -136,15 +136,15 @@ def requests_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.within_budget(requests, ["page"], "priority", "id", "pixels", 12, 4_000_000.0, 4).select("page", "id", "wave")
 
 
-CENTROIDS = [[(i * 7 + j * 3) % 5 / 5 - 0.4 for j in range(8)] for i in range(6)]
+CENTROIDS = [[(i * 7 + j * 3) % 5 / 5 - 0.4 for j in range(64)] for i in range(6)]
 
 
 @query(f"""
-WITH c AS (SELECT range::INT AS i, {[[float(x) for x in c] for c in CENTROIDS]}[range + 1] AS c FROM range(6)), e AS (SELECT vec_id, [embedding[i]::DOUBLE FOR i IN range(1, 9)] AS v FROM embeddings),
-d AS (SELECT vec_id, i, list_sum([(v[k] - c[k]) * (v[k] - c[k]) FOR k IN range(1, 9)]) AS d FROM e, c)
+WITH c AS (SELECT range::INT AS i, {[[float(x) for x in c] for c in CENTROIDS]}[range + 1] AS c FROM range(6)), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT vec_id, i, list_sum([(v[k] - c[k]) * (v[k] - c[k]) FOR k IN range(1, 65)]) AS d FROM e, c)
 SELECT vec_id, i AS cluster, round(d, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1""")
 def nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return evidence.nearest_centroid(vectors, "vec_id", "v", CENTROIDS).withColumn("distance", F.round("distance", 5))
 
 

@@ -13,14 +13,14 @@ from tablescribe.sources.tables import table
 
 # Inputs, the same expression in both dialects: pack texts, row texts and lines made of the columns of part and orders.
 PACK = """CASE p_partkey % 20 WHEN 0 THEN p_size || 'X10''S' WHEN 1 THEN '1X3X' || p_size WHEN 2 THEN p_size || '''s' WHEN 3 THEN p_size || '0S' WHEN 4 THEN p_size || ' PCS'
- WHEN 5 THEN '1x' || p_size || 'gm' WHEN 6 THEN p_size || ' ML' WHEN 7 THEN 'VIAL' WHEN 8 THEN p_size || ' 0S' WHEN 9 THEN '5X' || p_size || '8' WHEN 10 THEN p_size || '08' WHEN 11 THEN p_size || '05'
+ WHEN 5 THEN '1x' || p_size || 'gm' WHEN 6 THEN p_size || ' ML' WHEN 7 THEN CASE p_size % 3 WHEN 0 THEN 'VIAL' WHEN 1 THEN 'ROLL' ELSE 'CARTON' END WHEN 8 THEN p_size || ' 0S' WHEN 9 THEN '5X' || p_size || '8' WHEN 10 THEN p_size || '08' WHEN 11 THEN p_size || '05'
  WHEN 12 THEN 'IXIX' || p_size WHEN 13 THEN CAST(p_size AS STRING) WHEN 14 THEN '' WHEN 15 THEN NULL WHEN 16 THEN 'pixxr' WHEN 17 THEN p_size || '×10' WHEN 18 THEN '10X' || p_size || '5' ELSE p_name END"""
 ITEM = """CASE p_partkey % 8 WHEN 0 THEN p_name || ' Tab 10x' || p_size || '''s' WHEN 1 THEN p_name || ' Syp ' || p_size || 'ml' WHEN 2 THEN p_name || ' (' || p_size || '0S)' WHEN 3 THEN p_name || ' Cap ' || p_size || ' pcs'
- WHEN 4 THEN p_name || ' 1OxlO' WHEN 5 THEN NULL WHEN 6 THEN '' ELSE p_name END"""
+ WHEN 4 THEN p_name || ' 1OxlO''s' WHEN 5 THEN NULL WHEN 6 THEN '' ELSE p_name END"""
 LABEL = """CASE p_partkey % 22 WHEN 0 THEN 'RPL' WHEN 1 THEN 'Square Pharmaceuticals' WHEN 2 THEN '05 INJECTION' WHEN 3 THEN '0S INJECTION' WHEN 4 THEN '10 Tabs' WHEN 5 THEN 'Sub Total ' || p_size WHEN 6 THEN 'Tab'
  WHEN 7 THEN p_name WHEN 8 THEN 'L.' WHEN 9 THEN '0.35' WHEN 10 THEN 'MSD Product' WHEN 11 THEN 'Page ' || p_size WHEN 12 THEN '' WHEN 13 THEN NULL WHEN 14 THEN 'Grand Total : ' || p_retailprice WHEN 15 THEN 'Net Payable'
- WHEN 16 THEN 'Amount in words: ten' WHEN 17 THEN 'A' WHEN 18 THEN '01. TABLET' WHEN 19 THEN 'Less Discount 5' WHEN 20 THEN 'Tab Forte' ELSE p_brand END"""
-FRAGMENTS = ("TAB", "TABS", "TABLET", "CAP", "CAPSULE", "SYP", "SYRUP", "INJ", "FORTE", "PLUS", "DS", "SR", "XR", *groups.PACK_WORDS)
+ WHEN 16 THEN 'Amount in words: ten' WHEN 17 THEN 'A' WHEN 18 THEN '01. TABLET' WHEN 19 THEN 'Less Discount 5' WHEN 20 THEN CASE p_size % 5 WHEN 0 THEN 'GOLD' WHEN 1 THEN 'Max Extra' WHEN 2 THEN 'Total VAT / unit' WHEN 3 THEN 'Total VAT 7' ELSE 'Tab Forte' END WHEN 21 THEN 'Eye Drops ' || p_brand ELSE p_brand END"""
+FRAGMENTS = groups.FRAGMENTS
 
 
 def _parts(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
@@ -33,10 +33,11 @@ def _printed(c: str) -> str:
 
 
 UNIT = packs.SIZE_UNITS
+_END = f"trim(regexp_extract(coalesce(item, ''), {_sql('(?i)' + packs.NAME_PACK)}, 1))"
+AT_END_SQL = f"(CASE WHEN {_END} <> '' THEN translate(regexp_extract({_END}, {_sql(packs.NUMBERS)}, 0), 'OoIl|', '00111') || substr({_END}, length(regexp_extract({_END}, {_sql(packs.NUMBERS)}, 0)) + 1) END)"
 PACKS_SQL = f"""
 WITH p AS (SELECT p_partkey, {PACK} AS text, {ITEM} AS item FROM part),
-t AS (SELECT *, {_printed("text")} AS t FROM p), d AS (SELECT *, translate(t, 'OI|×', '011X') AS d FROM t),
-n AS (SELECT *, regexp_extract(coalesce(item, ''), {_sql("(?i)" + packs.NAME_PACK)}, 1) AS e FROM d)
+t AS (SELECT *, {_printed("text")} AS t FROM p), d AS (SELECT *, translate(t, 'OI|×', '011X') AS d FROM t), n AS (SELECT * FROM d)
 SELECT p_partkey,
  CASE WHEN regexp_matches(d, '^\\d+\\s*X\\s*\\d+(?:\\.\\d+)?\\s*(?:{UNIT})(?:[^A-Z]|$)') THEN regexp_extract(d, '^(\\d+)', 1)::BIGINT
   WHEN regexp_matches(d, '^\\d+\\s*X\\s*\\d+\\s*X\\s*\\d+\\s*''?S?\\b') THEN regexp_extract(d, '^(\\d+)', 1)::BIGINT * regexp_extract(d, '^\\d+\\s*X\\s*(\\d+)', 1)::BIGINT * regexp_extract(d, '^\\d+\\s*X\\s*\\d+\\s*X\\s*(\\d+)', 1)::BIGINT
@@ -47,7 +48,7 @@ SELECT p_partkey,
  CASE WHEN regexp_matches(d, '^\\d+\\s*X\\s*\\d+(?:\\s*X\\s*\\d+)?\\s*''?S?$') THEN 5 WHEN regexp_matches(d, '^\\d+\\s*''?S$') OR regexp_matches(t, '^\\d+(?:\\.\\d+)?\\s*(?:{UNIT})$') THEN 4
   WHEN regexp_matches(t, '^(?:{packs.PACK_WORDS})$') THEN 3 WHEN regexp_matches(t, '^\\d+\\s*(?:PCS|PC)$') THEN 2 WHEN regexp_matches(t, '^\\d{{1,3}}$') THEN 1 ELSE 0 END AS shape,
  CASE WHEN regexp_matches(trim(text), '^\\d{{2,4}}[58]$') AND left(trim(text), -1)::INT >= 10 AND left(trim(text), -1)::INT % 5 = 0 THEN left(trim(text), -1) || 'S' END AS repaired,
- nullif(trim(e), '') AS at_end
+ {AT_END_SQL} AS at_end
 FROM n"""
 
 
@@ -95,7 +96,7 @@ WITH p AS (SELECT p_partkey, {PACK} AS text, {ITEM} AS item, {READING} AS readin
 c AS (SELECT p_partkey, mrp, tp, text, 0 AS k, text AS cand FROM p UNION ALL
  SELECT p_partkey, mrp, tp, text, 1, {WITH_S_SQL.format(t=_printed("text"), s="'''S'")} FROM p UNION ALL
  SELECT p_partkey, mrp, tp, text, 2, trim(reading) FROM p WHERE regexp_matches({_printed("reading")}, '^\\d+\\s*X\\s*\\d+\\s*''?S?$|^\\d+\\s*''?S$') UNION ALL
- SELECT p_partkey, mrp, tp, text, 3, nullif(trim(regexp_extract(coalesce(item, ''), {_sql("(?i)" + packs.NAME_PACK)}, 1)), '') FROM p),
+ SELECT p_partkey, mrp, tp, text, 3, {AT_END_SQL} FROM p),
 u AS (SELECT *, translate({_printed("cand")}, 'OI|×', '011X') AS d FROM c),
 v AS (SELECT *, mrp * CASE WHEN regexp_matches(d, '^\\d+\\s*X\\s*\\d+(?:\\.\\d+)?\\s*(?:{UNIT})(?:[^A-Z]|$)') THEN regexp_extract(d, '^(\\d+)', 1)::BIGINT
   WHEN regexp_matches(d, '^\\d+\\s*X\\s*\\d+\\s*X\\s*\\d+\\s*''?S?\\b') THEN regexp_extract(d, '^(\\d+)', 1)::BIGINT * regexp_extract(d, '^\\d+\\s*X\\s*(\\d+)', 1)::BIGINT * regexp_extract(d, '^\\d+\\s*X\\s*\\d+\\s*X\\s*(\\d+)', 1)::BIGINT
@@ -115,7 +116,10 @@ CATEGORY_SQL = f"""(regexp_matches(t, {_sql(groups.NUMBERED)}) AND (regexp_match
  AND NOT list_contains({list(groups.NOT_CATEGORY)}, list_filter(regexp_split_to_array(upper(regexp_extract(t, {_sql(groups.NUMBERED)}, 2)), '[^A-Z]+'), lambda w: w <> '')[1]))"""
 GROUP_SQL = f"""({CATEGORY_SQL} OR (NOT regexp_matches(t, '\\d') AND regexp_matches(t, {_sql(groups.NAME)}) AND length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 2 AND NOT regexp_matches(t, {_sql(groups.NOT_GROUP)})
  AND len(list_filter(regexp_split_to_array(upper(t), '[^A-Z]+'), lambda w: w <> '' AND NOT list_contains({list(FRAGMENTS)}, w))) > 0))"""
-SUMMARY_SQL = f"(regexp_matches(t, {_sql(tables.SUMMARY_LINE)}) AND NOT (regexp_matches(t, '(?i)\\bsub\\s*-?\\s*total\\b') AND NOT regexp_matches(regexp_replace(t, '(?i)\\bsub\\s*-?\\s*total\\b', ''), {_sql(tables.SUMMARY_LINE)})))"
+_SUMMARY = tables.SUMMARY_LINE.replace(r"(?!\s*/)", "")  # DuckDB knows no lookahead: what it excludes is blotted out before
+_summary = lambda t: f"regexp_matches(regexp_replace({t}, '(?i)total\\s*vat\\s*/', '#', 'g'), {_sql(_SUMMARY)})"
+_NO_SUB = f"regexp_replace(t, {_sql(tables.SUB_TOTAL)}, '', 'g')"
+SUMMARY_SQL = f"({_summary('t')} AND NOT (regexp_matches(t, {_sql(tables.SUB_TOTAL)}) AND NOT {_summary(_NO_SUB)}))"
 
 
 @query(f"""

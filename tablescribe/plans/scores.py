@@ -82,10 +82,10 @@ def sane_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_suppkey % 10 AS page, l_partkey % 60 AS x, l_linenumber AS y, l_suppkey // 20 AS label FROM lineitem WHERE l_quantity < 3 QUALIFY row_number() OVER (PARTITION BY l_suppkey % 10, l_partkey % 60, l_linenumber ORDER BY l_suppkey // 20) = 1),
+WITH p AS (SELECT l_suppkey AS page, l_partkey % 60 AS x, l_linenumber AS y, min(CAST(floor(l_quantity / 5) AS BIGINT)) AS label FROM lineitem GROUP BY 1, 2, 3),
 e AS (SELECT a.page, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b FROM p a JOIN p b ON a.page = b.page AND a.label <> b.label AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1)) SELECT page, a, b, count(*) AS shared FROM e GROUP BY 1, 2, 3""")
 def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablescribe.operators.graph import neighbour_edges as edges
 
-    points = table(spark, sf_dir, "lineitem").where("l_quantity < 3").selectExpr("l_suppkey % 10 AS page", "l_partkey % 60 AS x", "l_linenumber AS y", "CAST(floor(l_suppkey / 20) AS BIGINT) AS label")
+    points = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS page", "l_partkey % 60 AS x", "l_linenumber AS y", "CAST(floor(l_quantity / 5) AS BIGINT) AS label")
     return edges(points.groupBy("page", "x", "y").agg(F.min("label").alias("label")), ["page"], "label")
