@@ -127,10 +127,13 @@ def evaluate(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), wi
         for texts in batches:
             yield pd.DataFrame([clean(x, rules)[: len(fields)] for x in texts], columns=[f.split()[0] for f in fields])
 
-    return docs.withColumn("__r", of(F.col(text_col))).withColumns({f.split()[0]: F.col("__r")[f.split()[0]] for f in fields}).drop("__r")
+    names = [f.split()[0] for f in fields]
+    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), of(F.col(f"`{text_col}`")).alias("report"))
+    own = [F.col("report")[c].alias(c) if c in names else F.col("doc")[c].alias(c) for c in docs.columns]
+    return judged.select(*own, *[F.col("report")[c].alias(c) for c in names if c not in docs.columns])
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The documents kept, with the columns of docs, their texts without the failing lines."""
-    judged = evaluate(docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text_col).alias("__text")), "__text", rules).where("kept")
+    judged = evaluate(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text_col}`").alias("__text")), "__text", rules).where("kept")
     return judged.select(*[(F.col("cleaned") if c == text_col else F.col("__doc")[c]).alias(c) for c in docs.columns])

@@ -208,31 +208,10 @@ def _compare(cosine: float):
     return of
 
 
-def near_duplicates(
-    vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.99, sample: int = 8192, probes: int = 256,
-    cell_size: int = 16, block: int = 512, batch: int = 4096,
-) -> DataFrame:
-    """One row per row of vectors: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
-
-    kept: the id is the component's. Vectors that are null, empty, all zero, hold a null or a non-finite number, or
-    don't have the most frequent length link with nothing. Rows that repeat a vector are linked, also if they share
-    its id. A null id counts only where its component has no other. Other columns are ignored. An empty table gives an
-    empty result.
-    """
-    v = F.col("v")
-    fit = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
-    rows = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v")).withColumn("v", F.when(fit, v)), "vectors")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    lengths = classes.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = lengths["size"] if lengths else 0
-    classes = written(classes.where(F.size("v") == size).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    n = lengths["count"] if lengths else 0
-    no_links = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not n:
-        return no_links
+def _linked(classes: DataFrame, n: int, kind: str, cosine: float, recall: float, sample: int, probes: int, cell_size: int, block: int, batch: int) -> DataFrame:
+    """(v, links, component) of n distinct vectors of one length (cid, v, least id, n rows)."""
     index = _train(classes, n, sample, probes, recall, cosine, cell_size, block)
-    at = vectors.sparkSession.sparkContext.broadcast(index)
+    at = classes.sparkSession.sparkContext.broadcast(index)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -259,7 +238,34 @@ def near_duplicates(
     roots = components(found.where("b is not null").select("a", "b"))
     named = classes.select("cid", "v", "least", "n").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
+    return named.join(least, "root").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
+
+
+def near_duplicates(
+    vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.99, sample: int = 8192, probes: int = 256,
+    cell_size: int = 16, block: int = 512, batch: int = 4096,
+) -> DataFrame:
+    """One row per row of vectors: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
+
+    kept: the id is the component's. Vectors that are null, empty, all zero, or hold a null or a non-finite
+    number link with nothing; the others link with vectors of their length, each length with an index of its own. Rows that repeat a vector are linked, also if they share
+    its id. A null id counts only where its component has no other. Other columns are ignored. An empty table gives an
+    empty result.
+    """
+    v = F.col("v")
+    fit = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v")).withColumn("v", F.when(fit, v)), "vectors")
+    classes = written(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")), "lengths")
+    lengths = classes.groupBy(F.size("v").alias("size")).count().orderBy("size").collect()  # a row per length
+    no_links = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    if not lengths:
+        return no_links
+    named = None
+    for length in lengths:
+        own = written(classes.where(F.size("v") == length["size"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
+        linked = _linked(own, length["count"], kind, cosine, recall, sample, probes, cell_size, block, batch)
+        named = named.unionAll(linked) if named is not None else linked
     out = rows.join(named, "v", "left")
     component = F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

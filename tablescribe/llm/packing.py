@@ -153,5 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
         if held:
             yield from done()
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} long" for c in names[1:7]) + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(of, schema).withColumnRenamed("id", id_col)
+    schema = "id string, " + ", ".join(f"{c} long" for c in names[1:7]) + ", ids binary" * with_ids
+    # ids go through Python as text: beside a null, pandas would make doubles of them
+    packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(of, schema)
+    return packed.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("id", id_col)

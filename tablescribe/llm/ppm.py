@@ -305,7 +305,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     held = crc32_of_id(id_col) % 10 == 0 if held_out is None else held_out
-    mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
+    mine = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     training = mine.where(~F.col("held_out"))
     path, grams = train(training, order)
     fits = order == 1 or grams.select(F.shiftrightunsigned("gram", 8).alias("c")).distinct().count() <= max_contexts
@@ -345,8 +345,8 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
                 yield pd.DataFrame(out, columns=["n_tokens", "known", "logs"]).assign(task=task, row=np.arange(row, row + len(texts)), id=part["id"].to_numpy(), held_out=part["held_out"].to_numpy(), score=trie.score(texts) if trie else 0.0, rare=rare, text=None if trie else [t.decode() for t in texts])
                 first, row = first + len(texts), row + len(texts)
 
-    kind = dict(docs.dtypes)[id_col]
-    scored = written(mine.mapInPandas(of, f"task long, row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: binary, times: long>>, text string"), "scored")
+    # ids go through Python as text: beside a null, pandas would make doubles of them
+    scored = written(mine.mapInPandas(of, "task long, row long, id string, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: binary, times: long>>, text string"), "scored")
     if not fits:
         place = F.shiftleft("task", 33).bitwiseOR(F.col("row")).alias("row")
         found = written(shuffled_scores(scored.select(place, "text"), grams, order), "found").select(F.shiftright("row", 33).alias("task"), F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "score")
@@ -355,6 +355,6 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     rest = rest.groupBy("task", "row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs2"))
     both = scored.drop("rare", "text").join(rest, ["task", "row"], "left")
     return both.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("logs2", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",
     )

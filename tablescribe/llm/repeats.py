@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
-    mine = docs.select(F.col(id_col).alias("name"), F.xxhash64(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    mine = docs.select(F.col(id_col).cast("string").alias("name"), F.xxhash64(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     starts = repeated_starts(mine, length)
     per_text = starts.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # at most a text's own
     both = mine.select("name", "id", "th", packed_text(F.col("text")).alias("blob")).join(per_text, ["id", "th"], "left").select(F.col("name").alias("id"), "blob", "runs")
@@ -305,5 +305,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"first": lo, "end": hi} for lo, hi in spans]))
             yield pd.DataFrame({"id": b["id"], **dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"), zip(*out)))}) if out else pd.DataFrame()
 
-    kind = dict(mine.dtypes)["name"]
-    return both.mapInPandas(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<first: long, end: long>>").withColumnRenamed("id", id_col)
+    out = both.mapInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<first: long, end: long>>")
+    return out.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("id", id_col)  # through Python as text: beside a null, pandas would make doubles of them

@@ -1,8 +1,8 @@
 """Secret scans by fixed patterns and by a battery of randomness tests, in DataFrame operations only.
 
 Patterns find assigned passwords and tokens, access keys and long hexadecimal strings. Beyond them, every run
-of 20 or more characters of the usual encodings that holds a digit is a candidate. Its encoding is inferred
-(hexadecimal, base 32, letters of one case with digits, letters with digits, base 64, plain or for URLs), and
+of 20 or more characters of the usual encodings that holds a letter is a candidate. Its encoding is inferred
+(hexadecimal, letters alone, base 32, letters of one case with digits, letters with digits, base 64, plain or for URLs, or a mixture), and
 three tests compare it with evenly random text of that alphabet and length: chi-squared uniformity, the runs
 test about the middle of the alphabet, and the correlation of neighbouring characters. A candidate that any
 of them rejects at `alpha` is not random.
@@ -38,12 +38,16 @@ _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvw
 ENCODINGS = {
     "hex": (r"^[0-9a-f]+$", _DIGITS + "abcdef"),
     "HEX": (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    "small": (r"^[a-z]+$", _LOWER),
+    "capital": (r"^[A-Z]+$", _UPPER),
+    "letters": (r"^[A-Za-z]+$", _UPPER + _LOWER),
     "base32": (r"^[A-Z2-7]+$", _UPPER + "234567"),
     "lower": (r"^[a-z0-9]+$", _DIGITS + _LOWER),
     "upper": (r"^[A-Z0-9]+$", _DIGITS + _UPPER),
     "alnum": (r"^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER),
     "base64": (r"^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     "base64url": (r"^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
+    "mixed": (r"^[A-Za-z0-9+/_-]+$", _UPPER + _LOWER + _DIGITS + "+/-_"),
 }
 
 
@@ -77,14 +81,14 @@ def _normal(z: Column) -> Column:
 def battery(tokens: DataFrame, skew: float = 1.7) -> DataFrame:
     """tokens (token, ...) with columns encoding, n, chi2, p_uniform, p_runs, p_serial, p_natural.
 
-    Tokens without a digit, of digits only or of no known encoding are left out.
+    Tokens without a letter or of no known encoding are left out.
     """
     core = F.regexp_replace("token", "=+$", "")
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, (pattern, letters) in reversed(ENCODINGS.items()):
         encoding = F.when(F.col("core").rlike(pattern), name).otherwise(encoding)
         alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
-    t = tokens.withColumn("core", core).where(F.col("core").rlike("[0-9]") & F.col("core").rlike("[A-Za-z]"))
+    t = tokens.withColumn("core", core).where(F.col("core").rlike("[A-Za-z]"))
     t = t.withColumn("encoding", encoding).where("encoding is not null").withColumn("alphabet", alphabet)
     t = t.withColumn("n", F.length("core").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
     t = written(t, "candidates")  # between steps, lest the optimizer write out each where it is used
@@ -135,7 +139,7 @@ def discoveries(tested: DataFrame, rate: float) -> DataFrame:
 
 def _found(docs: DataFrame, id_col: str, text_col: str, whole_rows: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"), *[c.alias(f"may_{k}") for k, c in _may_match(text).items()], *[F.struct(*docs.columns).alias("doc")] * whole_rows)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"), *[c.alias(f"may_{k}") for k, c in _may_match(text).items()], *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] * whole_rows)
     return written(rows.select("row", "id", *[F.when(F.col(f"may_{k}"), _matches(F.col("text"), k)).alias(k) for k in KINDS], *["doc"] * whole_rows), "matches")
 
 

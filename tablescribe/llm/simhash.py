@@ -271,4 +271,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     asked = _in_buckets(named, row, gone, "left_semi").join(gone.withColumnRenamed("row", "__gone"), F.col(row) == F.col("__gone"), "left").where("stays is null or stays")
     once = asked.where("stays").groupBy(row).agg(F.first(rest).alias("__kept")).select("__kept.*")
-    return _in_buckets(named, row, gone, "left_anti").drop(row).unionAll(asked.where("stays is null").select(*docs.columns)).unionAll(once)
+    return _in_buckets(named, row, gone, "left_anti").drop(row).unionAll(asked.where("stays is null").select(*[F.col(f"`{c}`") for c in docs.columns])).unionAll(once)

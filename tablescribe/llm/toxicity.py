@@ -286,3 +286,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: st
     model = fit(docs, labels, held_out_id, _fold, id_col=id_col, text_col=text_col, label_col=label_col, **how)
     scored = docs.withColumn("held_out", held_out_id(F.col(id_col))).withColumn("score", score_column(model, F.col(text_col), docs.sparkSession))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def not_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> DataFrame:
+    """The rows of docs that score() doesn't predict to be toxic, with the columns of docs, whatever their names."""
+    model = fit(docs, labels, held_out_id, _fold, id_col=id_col, text_col=text_col, label_col=label_col, **how)
+    return docs.where(score_column(model, F.col(text_col), docs.sparkSession) < threshold)

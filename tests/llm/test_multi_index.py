@@ -77,3 +77,9 @@ def test_rare_links_at_the_least_cosine_are_found(spark):
     found = [i for i in range(40) if got[100 + i]["component_id"] == i and got[i]["n_links"] == got[100 + i]["n_links"] == 1]
     assert len(found) >= 38
     assert sum(g["n_links"] for g in got.values()) == 2 * len(found)
+
+
+def test_vectors_link_with_those_of_their_length(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.01, 1.0]), (4, [1.0, 1.0]), (5, [1.0, 1.01]), (6, [2.0]), (7, [3.0]), (8, [0.0, 0.0, 1.0])]
+    got = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (0, 1), 2: (0, 2), 3: (1, 3), 8: (1, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}

@@ -75,3 +75,17 @@ def test_redaction(spark, docs, nothing):
     same = secret_scan.redact(docs)
     assert same.columns == docs.columns and sorted(map(str, same.collect())) == sorted(map(str, docs.collect()))
     assert secret_scan.redact(nothing).count() == 0
+
+
+def test_letters_alone_and_mixed_alphabets_are_judged(spark):
+    r = random.Random(12)
+    draw = lambda letters, n=64: "".join(r.choice(letters) for _ in range(n))
+    small, capital = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [small, capital, small + capital, small + capital + "0123456789+/-_"]
+    secrets = [(i, f"see {draw(kinds[i % 4])} there") for i in range(80)]
+    words = ["reconsider", "nation", "overwhelming", "there", "settlement", "other", "information", "entire", "standing"]
+    natural = [(100 + i, f"see {''.join(r.choice(words) for _ in range(8))} there") for i in range(80)]
+    got = {x["doc_id"]: x["n_random"] for x in secret_scan.scan(spark.createDataFrame(secrets + natural, "doc_id long, text string")).collect()}
+    for k in range(4):
+        assert sum(got[i] > 0 for i in range(k, 80, 4)) >= 17, k
+    assert sum(got[100 + i] > 0 for i in range(80)) <= 4

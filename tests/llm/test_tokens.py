@@ -128,3 +128,15 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
             ids = np.frombuffer(ids_of.of(text), ids_of.type).tolist()
             assert ids == Tokenizer.from_file(f"{folder}/{name}").encode(text, add_special_tokens=False).ids, name
     assert tokens.WordIds(public_tokenizers.path("word_bpe_49k.json")).short_way and True in seen
+
+
+def test_ids_beside_a_null_stay_whole(spark):
+    from tablescribe.llm import lines, ppm, repeats
+
+    rows = spark.createDataFrame([(9007199254740993, "some words here"), (None, "other words"), (9007199254740995, None)], "doc_id long, text string")
+    want = {9007199254740993, None, 9007199254740995}
+    for df in (packing.pack(rows, PATH, end_id=1, window=64), ppm.score(rows), repeats.remove_repeats(rows), tokens.round_trip(rows, PATH)):
+        assert {r["doc_id"] for r in df.select("doc_id").collect()} == want
+    odd = rows.selectExpr("*", "1 AS __r", "2 AS `a.b`", "'x' AS n_words")
+    judged = lines.evaluate(odd)
+    assert judged.columns[:5] == odd.columns and {r["__r"] for r in judged.collect()} == {1} and judged.schema["n_words"].dataType.simpleString() == "bigint"
