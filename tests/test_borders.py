@@ -12,7 +12,7 @@ def test_one_frame_around_a_boxed_header_and_the_items():
     flats = [H(245, 95, 1405), H(385, 95, 1405), H(650, 95, 1405), *[H(y, 95, 1405) for y in range(690, 1801, 35)]]
     parts = borders.sections(flats, sorted(FRAME + HEADER + ITEMS), 95, 1405, 24)
     assert [flats[a][0] for a, *_ in parts] == [245, 650] and parts[-1][1] == len(flats) - 1 and parts[1][2] > parts[0][2]
-    apart = [(x + 40, a, b) for x, a, b in HEADER]
+    apart = [(565, 245, 650), (950, 245, 650)]  # farther than the tolerance from every other separator
     got = borders.grid_layout(flats, FRAME + apart + ITEMS, (95, 245, 1405, 1800), 2000, 24)
     assert got["splits"] == [650] and got["top"] == 650 and got["bottom"] == flats[-1][0] and got["kind"] == "full-grid"
     assert got["columns"] == sorted([95, 1405, *(x for x, *_ in ITEMS)]) and got["rows"][0] == 650
