@@ -47,3 +47,31 @@ def neighbour_edges(points: DataFrame, by: list[str], label: str) -> DataFrame:
     asked = here.select(*by, F.col("__l").alias("__o"), F.explode(steps).alias("s")).select(*by, "__o", "s.x", "s.y")
     pairs = asked.join(here, [*by, "x", "y"]).where("__l != __o")
     return pairs.groupBy(*by, F.least("__l", "__o").alias("a"), F.greatest("__l", "__o").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def heaviest_merges(nodes: DataFrame, edges: DataFrame, least: float, rounds: int = 100, keep: Callable[[DataFrame, str], DataFrame] = written) -> tuple[DataFrame, DataFrame]:
+    """Regions (id, area, cx, cy, x0, y0, x1, y1) merged along edges (a, b, score) as if the highest edge of `least` or more were merged
+    again and again; returns the merged regions and (node, root) of all.
+
+    In each round every edge that is the best of both its ends merges them: the highest of all is one of these, and merges of other
+    pairs don't touch it, so the result is that of one merge at a time. Ties go to the smaller pair of ids. The smaller id stays; areas add
+    up, boxes are united, centres are the rounded means of the two. Of edges between the same two the higher stays. A round is two
+    joins and two aggregations; chains of rising scores take a round for each link, `rounds` at most, after which the rest stays.
+    """
+    now = keep(nodes.select("id", "area", "cx", "cy", "x0", "y0", "x1", "y1"), "regions")
+    left = keep(edges.where((F.col("a") != F.col("b")) & (F.col("score") >= least)).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")), "left")
+    roots = keep(nodes.select(F.col("id").alias("node"), F.col("id").alias("root")), "roots")
+    for _ in range(rounds):
+        ends = left.select(F.explode(F.array("a", "b")).alias("end"), F.struct((-F.col("score")).alias("s"), "a", "b").alias("e"))
+        best = ends.groupBy("end").agg(F.min("e").alias("e"))
+        merges = keep(best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.a", "e.b"), "merges")
+        if merges.isEmpty():
+            break
+        into = lambda df, c: df.join(merges.select(F.col("a").alias("to"), F.col("b").alias("from")), F.col(c) == F.col("from"), "left").withColumn(c, F.coalesce("to", c)).drop("to", "from")
+        own = now.join(merges.select(F.col("b").alias("id"), F.col("a").alias("to")), "id", "left").withColumn("id", F.coalesce("to", "id"))
+        middle = lambda c: F.floor(F.avg(c) + 0.5).cast("double").alias(c)
+        now = keep(own.groupBy("id").agg(F.sum("area").alias("area"), middle("cx"), middle("cy"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")), "regions")
+        moved = into(into(left, "a"), "b").where("a != b")
+        left = keep(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")), "left")
+        roots = keep(into(roots, "root"), "roots")
+    return now, roots

@@ -96,8 +96,9 @@ def formula_relation(key: str, formula: str, roles: Mapping[str, str]) -> Relati
     numbered = iter(places)
     try:
         tree = ast.parse(re.sub(r"\{[^}]+\}", lambda m: f" {next(numbered)} ", body).strip(), mode="eval").body
-        _folded(tree, lambda name: F.lit(1.0))
-    except (SyntaxError, ValueError):
+    except SyntaxError:
+        return None
+    if not all(isinstance(n, (ast.BinOp, ast.UnaryOp, ast.Constant, ast.Name, ast.Load, ast.USub, ast.UAdd, *_OPERATORS)) for n in ast.walk(tree)):
         return None
     made = lambda v: _folded(tree, lambda name: v[places[name]])
 
