@@ -198,14 +198,20 @@ def similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int,
     return written(near.join(of("a"), "ra").join(of("b"), "rb").where(alike("ta", "tb")).select("a", "b"), "similar")
 
 
-def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similarity: float, longs: int, rounds: int = 2) -> DataFrame:
+def _open_pairs(members: DataFrame) -> int:
+    """How many pairs of different groups the buckets (key, group) hold."""
+    held = members.groupBy("key", "group").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return int(held.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0)
+
+
+def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similarity: float, longs: int, rounds: int = 5, leads: int = 3) -> DataFrame:
     """(row, least): for each row of docs the least row of its group. Rows link where the Jaccard similarity of
     their sets of word shingles reaches `similarity`.
 
     Candidates share a chain of segments of their fingerprints without a difference. Rows with equal fingerprints are one node.
-    In each bucket of a chain, all nodes are compared with one leader; `rounds` times, with a leader of another
-    group each time, so that a bucket full of near copies becomes few groups; then all pairs that are still in different
-    groups are compared. No pair within a group is laid out.
+    In each bucket of a chain, all nodes meet one leader, each node `leads` of its leaders at most; twice, and then until no more
+    pairs than nodes are open in the buckets, `rounds` times at most, with a leader of another group each time, so that a bucket full of
+    near copies becomes few groups; then all pairs that are still in different groups are compared. No pair within a group is laid out.
     """
 
     @F.pandas_udf("array<long>")
@@ -229,13 +235,15 @@ def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similar
     chained = sum((F.bit_count(F.col(f"h{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(1, _HEAD)), F.bit_count(F.col("h0").bitwiseXOR(F.col("o0")))) <= bits_apart(similarity, _HEAD)
     other = [F.col(f"h{i}").alias(f"o{i}") for i in range(_HEAD)]
     links = None
+    n = nodes.count()
     for k in range(rounds + 1):
-        order = F.struct(F.xxhash64("group", F.lit(k)) if k else F.col("group"), F.col("node"))
-        leaders = members.groupBy("key").agg(F.min_by(F.struct(F.col("group").alias("leader_group"), F.col("node").alias("leader"), *other), order).alias("l"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-        leaders = leaders.where("g0 < g1").select("key", "l.*")
-        if k < rounds:
-            pairs = members.join(leaders, "key").where((F.col("group") != F.col("leader_group")) & chained)
-            pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))  # one leader a round: groups still apart are compared again
+        order = F.struct(F.xxhash64("group", F.lit(k)), F.xxhash64("node", F.lit(k))) if k else F.struct("group", "node")  # another node of another group
+        leaders = members.groupBy("key").agg(F.min_by(F.struct(F.col("group").alias("leader_group"), F.col("node").alias("leader"), *other), order).alias("l"), F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("size"))
+        leaders = leaders.where("g0 < g1").select("key", "size", "l.*")
+        last = k == rounds or k > 1 and _open_pairs(members) <= n
+        if not last:
+            met = written(members.join(leaders, "key").where((F.col("group") != F.col("leader_group")) & chained).select("key", "size", "node", "leader"), "met")
+            pairs = met.groupBy(F.col("node").alias("a")).agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("leader", F.lit(k)).alias("h"), "leader"))).alias("all")).select("a", F.explode(F.slice("all", 1, leads)["leader"]).alias("b"))
         else:
             open_members = members.join(leaders.select("key"), "key", "left_semi")
             others = open_members.select("key", F.col("node").alias("b"), F.col("group").alias("other"), *other)
@@ -243,8 +251,12 @@ def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similar
         found = similar(pairs.distinct(), nodes, texts, shingle, similarity, longs)
         links = written(found if links is None else links.unionAll(found), "links")
         roots = components(links).withColumnRenamed("root", "new")
-        if k < rounds:
-            members = written(members.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").withColumn("group", F.coalesce("new", "node")).drop("__n", "new"), "members")
+        if last:
+            break
+        # two nodes that meet by chance part here: a bucket of two whose chain doesn't go on has nothing left to compare
+        going = leaders.where("size > 2").select("key").unionAll(met.where("size = 2").select("key"))
+        members = members.join(going, "key", "left_semi").drop("group")
+        members = written(members.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").withColumn("group", F.coalesce("new", "node")).drop("__n", "new"), "members")
     placed = nodes.join(roots, "node", "left").select("fp", "row", F.coalesce("new", "node").alias("group"))
     least = placed.groupBy("group").agg(F.min("row").alias("least"))
     return prints.join(placed.join(least, "group").select("fp", "least"), "fp").select("row", "least")
