@@ -19,3 +19,8 @@ def rows_of(spark, tmp_path):
 def test_points_within_radius_of_a_brand(rows_of):
     got = rows_of("points_within_radius", (1, 5, 900.0), (2501, 5, 910.0), (5001, 5, 910.0), (9000, 50, 900.0))
     assert got == [(1, 2, "Brand#1"), (2501, 2, "Brand#1"), (5001, 2, "Brand#1"), (9000, 0, "Brand#1")]
+
+
+def test_right_neighbours_in_a_brand(rows_of):
+    got = rows_of("right_neighbours", (1, 5, 900.0), (2501, 16, 905.0), (5001, 16, 905.0))
+    assert got == [(4.0, 1, 2501, "Brand#1")]
