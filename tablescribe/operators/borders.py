@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tablescribe.operators.boxes import overlap_candidates
 from tablescribe.operators.graph import components
-from tablescribe.operators.joins import meeting_square
+from tablescribe.operators.joins import meeting_square, square_level
 
 
 def crossings(rules: DataFrame, by: Sequence[str], tolerance: float, width: float) -> DataFrame:
@@ -29,7 +29,8 @@ def crossings(rules: DataFrame, by: Sequence[str], tolerance: float, width: floa
     steep = rules.where("not flat").select(*by, "id", F.col("x0"), (F.col("y0") - tolerance).alias("y0"), F.col("x0").alias("x1"), (F.col("y1") + tolerance).alias("y1"), (F.col("y0") <= F.col("y1")).alias("ok"))
     pairs = overlap_candidates(flat.where("ok").drop("ok"), steep.where("ok").drop("ok"), by, width)
     meet = (F.col("b_x0") >= F.col("a_x0")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") >= F.col("b_y0")) & (F.col("a_y0") <= F.col("b_y1"))
-    once = meeting_square([F.col(f"a_{s}") for s in sides], [F.col(f"b_{s}") for s in sides], F.col("__b"), width)
+    a, b = ([F.col(f"{k}_{s}") for s in sides] for k in "ab")
+    once = meeting_square(a, b, square_level(a, width), square_level(b, width), F.col("__b"))
     return pairs.where(meet & once).select(*by, F.col("a_id").alias("h"), F.col("b_id").alias("v"), F.col("b_x0").alias("x"), F.col("a_y0").alias("y"))
 
 

@@ -81,11 +81,17 @@ def point_squares(x: Column, y: Column, width: float) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), F.transform(levels, lambda k: F.struct(k.alias("l"), _square(x, k, width).alias("x"), _square(y, k, width).alias("y"))))
 
 
-def meeting_square(a: Sequence[Column], b: Sequence[Column], key: Column, width: float) -> Column:
-    """Whether key is the one square in which two boxes that overlap are to be reported."""
-    level = F.greatest(_box_level(a, width), _box_level(b, width))
-    corner = [_square(F.greatest(a[i], b[i]), level, width) for i in (0, 1)]
-    return (key["l"] == level) & (key["x"] == corner[0]) & (key["y"] == corner[1])
+def square_level(box: Sequence[Column], width: float) -> Column:
+    """The own level of a box and the width of its squares (l, w)."""
+    level = _box_level(box, width)
+    return F.struct(level.alias("l"), (width * F.pow(F.lit(_BOX_GROWTH), level)).alias("w"))
+
+
+def meeting_square(a: Sequence[Column], b: Sequence[Column], a_level: Column, b_level: Column, key: Column) -> Column:
+    """Whether key is the one square in which two boxes that overlap are to be reported; their levels are worked out before the join."""
+    width = F.greatest(a_level["w"], b_level["w"])
+    corner = [F.floor(F.greatest(a[i], b[i]) / width) for i in (0, 1)]
+    return (key["l"] == F.greatest(a_level["l"], b_level["l"])) & (key["x"] == corner[0]) & (key["y"] == corner[1])
 
 
 def meeting_bucket(a: tuple[Column, Column], b: tuple[Column, Column], key: Column, width: float) -> Column:

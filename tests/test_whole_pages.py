@@ -24,3 +24,9 @@ def test_points_within_radius_of_a_brand(rows_of):
 def test_right_neighbours_in_a_brand(rows_of):
     got = rows_of("right_neighbours", (1, 5, 900.0), (2501, 16, 905.0), (5001, 16, 905.0))
     assert got == [(4.0, 1, 2501, "Brand#1")]
+
+
+def test_split_and_merge_in_a_brand(rows_of):
+    got = rows_of("split_and_merge", (117, 5, 900.0), (117 * 20, 5, 900.0), (117 * 60, 50, 900.0))
+    near, far = [(117, 2), (117 * 20, 2)], [(117 * 60, 1)]
+    assert got == sorted((i, n, "Brand#1", side) for i, n in near + far for side in ("truth", "found"))
