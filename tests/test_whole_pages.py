@@ -30,3 +30,8 @@ def test_split_and_merge_in_a_brand(rows_of):
     got = rows_of("split_and_merge", (117, 5, 900.0), (117 * 20, 5, 900.0), (117 * 60, 50, 900.0))
     near, far = [(117, 2), (117 * 20, 2)], [(117 * 60, 1)]
     assert got == sorted((i, n, "Brand#1", side) for i, n in near + far for side in ("truth", "found"))
+
+
+def test_first_block_in_a_brand(rows_of):
+    got = rows_of("first_block_by_iou", (117, 5, 900.0), (117 * 20, 5, 900.0), (117 * 60, 50, 900.0))
+    assert got == [(117, 117, "Brand#1"), (117, 117 * 20, "Brand#1"), (117 * 60, 117 * 60, "Brand#1")]
