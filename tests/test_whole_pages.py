@@ -35,3 +35,9 @@ def test_split_and_merge_in_a_brand(rows_of):
 def test_first_block_in_a_brand(rows_of):
     got = rows_of("first_block_by_iou", (117, 5, 900.0), (117 * 20, 5, 900.0), (117 * 60, 50, 900.0))
     assert got == [(117, 117, "Brand#1"), (117, 117 * 20, "Brand#1"), (117 * 60, 117 * 60, "Brand#1")]
+
+
+def test_mean_best_iou_in_a_brand(rows_of):
+    # the second part's own moved box lies 8 to the right and 1 below; the first part's lies where the second one's is
+    got = rows_of("mean_best_iou", (117, 5, 900.0), (117 * 20 + 53, 5, 900.0))
+    assert got == [(2, 1.0, "Brand#1")]
