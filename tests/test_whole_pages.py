@@ -41,3 +41,8 @@ def test_mean_best_iou_in_a_brand(rows_of):
     # the second part's own moved box lies 8 to the right and 1 below; the first part's lies where the second one's is
     got = rows_of("mean_best_iou", (117, 5, 900.0), (117 * 20 + 53, 5, 900.0))
     assert got == [(2, 1.0, "Brand#1")]
+
+
+def test_column_coverage_of_a_brand(rows_of):
+    got = rows_of("column_coverage", (1, 5, 900.0), (2501, 5, 900.0), (5001, 6, 900.0))
+    assert got == [(1, "Brand#1", 57.0, 49.0), (2, "Brand#1", 48.0, 40.0), (3, "Brand#1", 49.0, 48.0)]
