@@ -46,3 +46,8 @@ def test_mean_best_iou_in_a_brand(rows_of):
 def test_column_coverage_of_a_brand(rows_of):
     got = rows_of("column_coverage", (1, 5, 900.0), (2501, 5, 900.0), (5001, 6, 900.0))
     assert got == [(1, "Brand#1", 57.0, 49.0), (2, "Brand#1", 48.0, 40.0), (3, "Brand#1", 49.0, 48.0)]
+
+
+def test_reading_order_of_a_brand(rows_of):
+    got = rows_of("reading_order", (1, 5, 901.0), (2501, 4, 950.0), (5001, 5, 900.0), (7001, 1, 970.0), (9001, 5, 901.0))
+    assert [(i, place) for i, _, place in got] == [(1, 3), (2501, 1), (5001, 2), (7001, 5), (9001, 4)]
