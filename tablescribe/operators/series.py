@@ -39,6 +39,33 @@ def running_clusters(df: DataFrame, by: Sequence[str], value: str, order: Sequen
     return df.where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(walk, schema)
 
 
+def running_cluster_bounds(df: DataFrame, by: Sequence[str], value: str, reach: float) -> DataFrame:
+    """(by, cluster, members, lo, hi): the clusters of running_clusters by number. Equal values are counted first and follow each other
+    into one cluster, so a group's task walks along its distinct values only; values that aren't numbers are clusters of their own."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(value, kind="stable")
+        out, total, n = [], 0.0, 0
+        for x, times in zip(pdf[value].to_numpy(float), pdf["__n"]):
+            if x != x:
+                out += [[len(out) + i, 1, x, x] for i in range(times)]
+                continue
+            if not (n and abs(x - total / n) <= reach):
+                total, n = 0.0, 0
+                out.append([len(out), 0, x, x])
+            for first in range(0, times, 1 << 16):  # one by one: a product would be rounded in another way
+                total = float(np.add.accumulate(np.concatenate([[total], np.full(min(times - first, 1 << 16), x)]))[-1])
+            n += times
+            out[-1][1:] = [n, out[-1][2], x]
+        ends = pd.DataFrame(out, columns=["cluster", "members", "lo", "hi"])
+        return ends.assign(**{c: [pdf[c].iloc[0]] * len(ends) for c in by})[[*by, "cluster", "members", "lo", "hi"]]
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "cluster int, members long", f"lo {types[value]}, hi {types[value]}"])
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    return counted.groupBy(*by).applyInPandas(walk, schema)
+
+
 def lines_by_overlap(df: DataFrame, by: Sequence[str], lo: str, hi: str, id_col: str, share: float, back: int = 6) -> DataFrame:
     """df with `line`, 0, 1, ...: in ascending order a span joins the best of the last `back` lines that it overlaps by
     `share` of the shorter, and widens it; else it begins a line. A group (a page) is one task's work."""

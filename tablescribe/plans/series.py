@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescribe.functions.numbers import half_up
 from tablescribe.operators import series
-from tablescribe.plans.boxes import PAGE
+from tablescribe.plans.boxes import BRAND, PAGE
 from tablescribe.plans.registry import query
 from tablescribe.sources.tables import table
 
@@ -41,14 +41,14 @@ def widest_inner_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE o AS (SELECT page, p_retailprice AS v, row_number() OVER (PARTITION BY page ORDER BY p_retailprice, p_partkey) AS n FROM (SELECT *, {PAGE} FROM part)),
+WITH RECURSIVE o AS (SELECT page, p_retailprice AS v, row_number() OVER (PARTITION BY page ORDER BY p_retailprice, p_partkey) AS n FROM (SELECT *, {BRAND} FROM part)),
 r AS (SELECT page, n, v, 0 AS cluster, v AS total, 1 AS members FROM o WHERE n = 1 UNION ALL
  SELECT o.page, o.n, o.v, CASE WHEN abs(o.v - r.total / r.members) <= 4 THEN r.cluster ELSE r.cluster + 1 END, CASE WHEN abs(o.v - r.total / r.members) <= 4 THEN r.total + o.v ELSE o.v END, CASE WHEN abs(o.v - r.total / r.members) <= 4 THEN r.members + 1 ELSE 1 END
  FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1)
 SELECT page, cluster, count(*) AS members, min(v) AS lo, max(v) AS hi FROM r GROUP BY 1, 2""")
 def running_mean_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr(PAGE, "p_partkey AS id", "p_retailprice AS v")
-    return series.running_clusters(rows, ["page"], "v", ["id"], 4.0).groupBy("page", "cluster").agg(F.count("*").alias("members"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = table(spark, sf_dir, "part").selectExpr(BRAND, "p_retailprice AS v")
+    return series.running_cluster_bounds(rows, ["page"], "v", 4.0)
 
 
 @query(None)

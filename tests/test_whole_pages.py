@@ -1,7 +1,12 @@
 """Queries whose pages are whole brands: parts of one brand meet however far apart their keys are."""
 
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from tablescribe.operators import series
 from tablescribe.plans.catalog import QUERIES
 
 
@@ -51,3 +56,16 @@ def test_column_coverage_of_a_brand(rows_of):
 def test_reading_order_of_a_brand(rows_of):
     got = rows_of("reading_order", (1, 5, 901.0), (2501, 4, 950.0), (5001, 5, 900.0), (7001, 1, 970.0), (9001, 5, 901.0))
     assert [(i, place) for i, _, place in got] == [(1, 3), (2501, 1), (5001, 2), (7001, 5), (9001, 4)]
+
+
+def test_running_mean_clusters_of_a_brand(rows_of):
+    got = rows_of("running_mean_clusters", (1, 5, 900.0), (2501, 5, 903.0), (5001, 5, 903.0), (7001, 5, 905.9), (9001, 5, 930.0))
+    assert got == [(0, 905.9, 900.0, 4, "Brand#1"), (1, 930.0, 930.0, 1, "Brand#1")]
+
+
+def test_cluster_bounds_equal_the_clusters_of_rows(spark):
+    r = random.Random(5)
+    rows = spark.createDataFrame([("g%d" % (i % 3), i, r.randint(0, 900) / 10) for i in range(900)] + [("g0", 1000, None), ("g1", 1001, math.nan), ("g1", 1002, math.nan)], "g string, id int, v double")
+    slow = series.running_clusters(rows, ["g"], "v", ["id"], 4.0).groupBy("g", "cluster").agg(F.count("*").alias("members"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    shown = lambda df: sorted(str(tuple(x)) for x in df.collect())
+    assert shown(series.running_cluster_bounds(rows, ["g"], "v", 4.0)) == shown(slow)
