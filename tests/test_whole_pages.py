@@ -69,3 +69,9 @@ def test_cluster_bounds_equal_the_clusters_of_rows(spark):
     slow = series.running_clusters(rows, ["g"], "v", ["id"], 4.0).groupBy("g", "cluster").agg(F.count("*").alias("members"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     shown = lambda df: sorted(str(tuple(x)) for x in df.collect())
     assert shown(series.running_cluster_bounds(rows, ["g"], "v", 4.0)) == shown(slow)
+
+
+def test_host_rows_in_a_brand(rows_of):
+    # the part at 117 * 20 + 9 has its moved box 9 below; the other part's covers it whole
+    got = rows_of("host_rows", (117, 5, 900.0), (117 * 20 + 9, 5, 900.0))
+    assert got == [(117, 117, "Brand#1"), (117, 117 * 20 + 9, "Brand#1")]
