@@ -64,7 +64,7 @@ def label_distances(points: DataFrame, by: Sequence[str], label: str, radius: fl
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     q = points.select(*by, F.col(label).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("x0"), cell("y").alias("y0")).distinct()
     q = q.withColumn("s", F.explode(shifts)).withColumns({"cx": F.col("x0") + F.col("s.i"), "cy": F.col("y0") + F.col("s.j")}).drop("s", "x0", "y0")
-    apart = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
+    apart = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
     return q.join(p, [*by, "cx", "cy"]).where((F.col("a") < F.col("b")) & (apart <= radius * radius)).groupBy(*by, "a", "b").agg(F.sqrt(F.min(apart)).alias("distance"))
 
 

@@ -51,10 +51,10 @@ def host_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT DISTINCT page, id % 4 AS l, x0 AS x, y0 AS y FROM {BOX_SQL})
+WITH p AS (SELECT DISTINCT page, id % 4 AS l, x0 AS x, y0 AS y FROM {BRAND_BOX_SQL})
 SELECT a.page, a.l AS a, b.l AS b, round(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS distance FROM p a JOIN p b ON a.page = b.page AND a.l < b.l AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64 GROUP BY 1, 2, 3""")
 def label_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _boxes(spark, sf_dir).selectExpr("page", "id % 4 AS l", "x0 AS x", "y0 AS y")
+    points = _boxes(spark, sf_dir, BRAND_BOX).selectExpr("page", "id % 4 AS l", "x0 AS x", "y0 AS y")
     return shapes.label_distances(points, ["page"], "l", 8.0).withColumn("distance", F.round("distance", 6))
 
 

@@ -75,3 +75,8 @@ def test_host_rows_in_a_brand(rows_of):
     # the part at 117 * 20 + 9 has its moved box 9 below; the other part's covers it whole
     got = rows_of("host_rows", (117, 5, 900.0), (117 * 20 + 9, 5, 900.0))
     assert got == [(117, 117, "Brand#1"), (117, 117 * 20 + 9, "Brand#1")]
+
+
+def test_label_distances_in_a_brand(rows_of):
+    got = rows_of("label_distances", (4, 5, 900.0), (2501, 5, 903.0), (5002, 50, 900.0))
+    assert got == [(0, 1, 3.0, "Brand#1")]
