@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.dataset as ds
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,8 @@ from tablescribe.llm.tokens import _filesystem
 #: Never a byte of UTF-8: stands before a text and ends it.
 _EDGE = 0xFF
 _CHUNK = 4 << 20
+#: Contexts whose probabilities are worked out together: some MB at a time.
+_ROWS = 2048
 
 
 def _lowered(text: str | None) -> bytes:
@@ -129,16 +132,28 @@ class Trie:
         self.size = len(pads) + 1  # and one for bytes never seen
         self.symbol = np.full(256, len(pads), np.int64)
         self.symbol[pads] = np.arange(len(pads))
+        # how often each byte follows the last j bytes of the contexts: tables of the shorter contexts, a list for the longest, of
+        # which there are most; its rows are laid out a few at a time
         tables, self.names = [], []
-        for j in range(order + 1):  # contexts of the last j bytes, and how often each byte follows them
+        for j in range(order):
             source, n = (grams, counts) if lower is None or j > order - 2 else lower
-            name = self._names(source, j)
-            known, row = np.unique(name, return_inverse=True)
+            known, row = np.unique(self._names(source, j), return_inverse=True)
             table = np.zeros((max(1, len(known)), self.size))
             np.add.at(table, (row, self._digit(source, 0)), n)
             tables.append(table)
             self.names.append(known if len(known) else np.zeros(1, np.int64))
-        self.logs = [self._level(j, tables, self.names) for j in range(order + 1)]
+        row = name = None
+        name = self._names(grams, order)
+        if (name[1:] < name[:-1]).any():
+            by = np.argsort(name, kind="stable")
+            name, grams, counts = name[by], grams[by], counts[by]
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        self.names.append(name[new] if len(name) else np.zeros(1, np.int64))
+        name = None
+        first = np.concatenate([np.flatnonzero(new), [len(new)]]) if len(new) else np.zeros(2, np.int64)
+        entries = (first, self._digit(grams, 0).astype(np.int16), counts)
+        self.logs = [self._level(j, tables, self.names, entries) for j in range(order + 1)]
         self.steps = self._walks(self.names) if lower is None else []
 
     def _digit(self, grams: np.ndarray, back: int) -> np.ndarray:
@@ -162,16 +177,23 @@ class Trie:
             left = left[~hit]
         return out
 
-    def _level(self, j: int, tables: list[np.ndarray], names: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(tables[j].shape, np.float32)
-        for first in range(0, len(out), 8192):
-            name = names[j][first : first + 8192]
+    def _level(self, j: int, tables: list[np.ndarray], names: list[np.ndarray], entries: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(names[j]), self.size), np.float32)
+        starts, symbol, count = entries
+        for first in range(0, len(out), _ROWS):
+            name = names[j][first : first + _ROWS]
             p = np.zeros((len(name), self.size))
             left = np.ones(len(name))
             tried = np.zeros((len(name), self.size), bool)
             for k in range(j, -1, -1):
-                shorter = name % (self.size**k) if k else np.zeros(len(name), np.int64)
-                c = np.where(tried, 0, tables[k][np.searchsorted(names[k], shorter)])
+                if k == self.order:
+                    ends = starts[first : first + len(name) + 1]
+                    c = np.zeros((len(name), self.size))
+                    some = slice(ends[0], ends[-1])
+                    np.add.at(c, (np.repeat(np.arange(len(name)), np.diff(ends)), symbol[some]), count[some])
+                else:
+                    shorter = name % (self.size**k) if k else np.zeros(len(name), np.int64)
+                    c = np.where(tried, 0, tables[k][np.searchsorted(names[k], shorter)])
                 n, d = c.sum(axis=1), (c > 0).sum(axis=1)
                 some = np.maximum(n + d, 1)
                 p += (left / some)[:, None] * c
@@ -179,7 +201,7 @@ class Trie:
                 left = np.where(d > 0, left * d / some, left)
             unseen = 256 - tried.sum(axis=1)
             p += np.where(tried, 0, (left / np.maximum(unseen, 1))[:, None])
-            out[first : first + 8192] = np.log10(np.maximum(p, 1e-300))
+            out[first : first + _ROWS] = np.log10(np.maximum(p, 1e-300))
         return out
 
     def _walks(self, names: list[np.ndarray]) -> list[np.ndarray]:
@@ -228,10 +250,13 @@ class Trie:
 def load_trie(path: str, order: int) -> Trie:
     """From the counts in the shared folder; once for each worker."""
     fs, at = _filesystem(path)
-    table = ds.dataset(at, filesystem=fs, format="parquet").to_table() if path else None
-    grams, counts = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    by = np.argsort(grams, kind="stable")
-    return Trie(grams[by], counts[by].astype(float), order)
+    table = ds.dataset(at, filesystem=fs, format="parquet").to_table().combine_chunks()
+    by = np.argsort(table.column("gram").to_numpy().view(np.uint64), kind="stable")
+    grams, counts = table.column("gram").to_numpy().view(np.uint64)[by], table.column("n").to_numpy()[by].astype(float)
+    del table, by
+    trie = Trie(grams, counts, order)
+    pa.default_memory_pool().release_unused()
+    return trie
 
 
 def _of_texts(data: np.ndarray, starts: np.ndarray, texts: list[bytes], order: int, values) -> np.ndarray:

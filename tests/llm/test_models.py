@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -161,3 +162,17 @@ def test_kneser_ney_probabilities_equal_brute_force():
             assert word[at] == i and p[:, at] == pytest.approx(slow(w[max(0, q - 3) : q], w[q : q + 1], min(3, q)), rel=1e-4)
             at += 1
     assert at == p.shape[1]
+
+
+def test_a_trie_is_made_in_little_more_memory_than_it_keeps():
+    r = np.random.default_rng(1)
+    contexts = np.tile(r.integers(97, 123, (30_000, 4)), (8, 1)).astype(np.uint64)
+    grams = r.integers(60, 180, len(contexts)).astype(np.uint64)
+    for back in range(4):
+        grams |= contexts[:, back] << np.uint64(8 * (back + 1))
+    grams = np.unique(grams)
+    tracemalloc.start()
+    trie = ppm.Trie(grams, np.ones(len(grams)), 4)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(trie.names[4]) > 25_000 and peak < 2 * kept
