@@ -7,6 +7,7 @@ Null and empty texts are documents without words: they stay (one of them, after
 and so aren't packed. A null id is an id, a null source a source. Rows that share id and text become one row. Columns
 besides doc_id, text, source and n_chars pass through, whatever their names. An empty table stays empty in all stages.
 A stage's result must be written before the next stage runs: that one removes the tables the former worked with.
+Stages pass whole texts to Python 1,000 rows at a time; since their results are written later, the session keeps that setting.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescribe.llm import mixing, packing, secret_scan, simhash, toxicity
-from tablescribe.llm.common import drop_tables, tables_of, written
+from tablescribe.llm.common import BATCH_ROWS, drop_tables, tables_of, written
 from tablescribe.llm.queries import TOKENIZER
 
 
@@ -54,6 +55,7 @@ def _after(earlier: str | None, name: str, stage: Stage) -> tuple[str, Stage]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if earlier:
             drop_tables(spark, earlier)
+        spark.conf.set(BATCH_ROWS, 1000)
         with tables_of(name):
             return stage(spark, docs, sf_dir)
 

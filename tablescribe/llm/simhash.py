@@ -21,10 +21,10 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescribe.llm.common import components, written
+from tablescribe.llm.common import components, small_batches, written
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -120,8 +120,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bits of a segment, and how many segments in a row a chain has.
 _SEGMENT, _CHAIN = 12, 2
-#: Longs of a fingerprint that a candidate carries with it.
-_HEAD = 2
+#: Longs of a fingerprint that a member of a bucket carries with it.
+_HEAD = 8
+#: Leaders that a node is held against in a round, the nearest ones.
+_LEADERS = 3
 #: Buckets of the filters that go to every task: at most so many numbers, whatever the input.
 _BUCKETS = 1 << 20
 
@@ -162,10 +164,10 @@ def chain_keys(fp: np.ndarray) -> np.ndarray:
     return keys
 
 
-def bits_apart(similarity: float, longs: int) -> int:
+def bits_apart(similarity: float, longs: int, deviations: float = 3) -> int:
     """Bits that fingerprints of sets of equal size with this Jaccard similarity differ in at most: the mean and three deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(64 * longs * share + 3 * np.sqrt(64 * longs * share * (1 - share))))
+    return int(np.ceil(64 * longs * share + deviations * np.sqrt(64 * longs * share * (1 - share))))
 
 
 def _in_buckets(df: DataFrame, key: str, rows: DataFrame, how: str) -> DataFrame:
@@ -198,13 +200,40 @@ def similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int,
     return written(near.join(of("a"), "ra").join(of("b"), "rb").where(alike("ta", "tb")).select("a", "b"), "similar")
 
 
+def shared_keys(keys: DataFrame, similarity: float) -> DataFrame:
+    """The rows of keys (node, h0, key) whose key several nodes have. Of two nodes alone, which are mostly together by chance, the
+    first longs h0 must be near as well: their xor is that of the bucket, so no pair is laid out for it."""
+    bucket = Window.partitionBy("key")
+    held = keys.withColumn("__n", F.count("*").over(bucket)).withColumn("__x", F.bit_xor("h0").over(bucket))
+    return held.where((F.col("__n") > 2) | ((F.col("__n") == 2) & (F.bit_count("__x") <= bits_apart(similarity, 1, 4.5)))).drop("__n", "__x")
+
+
+def nearest_leaders(members: DataFrame, round_: int, rounds: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes: each bucket of the round's chains names a leader by chance, and each node a takes the nearest few of the
+    leaders b of other groups in its buckets, by the first bits of the fingerprints."""
+    now = members.where(F.shiftright("key", _SEGMENT * _CHAIN) % rounds == round_)
+    leader = F.struct(F.col("group").alias("leader_group"), F.col("node").alias("leader"), *_other_head())
+    leaders = now.groupBy("key").agg(F.min_by(leader, F.struct(F.xxhash64("node", "key"), F.col("node"))).alias("l")).select("key", "l.*")
+    met = now.join(leaders, "key").where((F.col("group") != F.col("leader_group")) & (_head_apart() <= bits_apart(similarity, _HEAD)))
+    seen = met.groupBy(F.col("node").alias("a")).agg(F.array_sort(F.collect_set(F.struct(_head_apart().alias("apart"), "leader"))).alias("l"))  # a node has as many buckets as chains
+    return seen.select("a", F.explode(F.slice("l", 1, _LEADERS)["leader"]).alias("b"))
+
+
+def _other_head() -> list[Column]:
+    return [F.col(f"h{i}").alias(f"o{i}") for i in range(_HEAD)]
+
+
+def _head_apart() -> Column:
+    return sum((F.bit_count(F.col(f"h{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(1, _HEAD)), F.bit_count(F.col("h0").bitwiseXOR(F.col("o0"))))
+
+
 def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similarity: float, longs: int, rounds: int = 2) -> DataFrame:
     """(row, least): for each row of docs the least row of its group. Rows link where the Jaccard similarity of
     their sets of word shingles reaches `similarity`.
 
     Candidates share a chain of segments of their fingerprints without a difference. Rows with equal fingerprints are one node.
-    In each bucket of a chain, all nodes are compared with one leader; `rounds` times, with a leader of another
-    group each time, so that a bucket full of near copies becomes few groups; then all pairs that are still in different
+    In each round a share of the chains is looked at: their buckets have a leader each, and nodes are compared with the nearest leaders
+    of other groups, so that many near copies become few groups. Then all pairs of all buckets that are still in different
     groups are compared. No pair within a group is laid out.
     """
 
@@ -221,30 +250,25 @@ def clusters(docs: DataFrame, row_col: str, text_col: str, shingle: int, similar
     prints = written(texts.select("row", fingerprints("text").alias("fp")), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each node becomes many keys: small tasks
-    keys = nodes.select("node", "fp").repartition(parts).select("node", F.explode(chains("fp")).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    # the chain goes on over the first 128 bits: few of the pairs that meet by chance get past them
-    head = nodes.select("node", *[F.element_at("fp", i + 1).alias(f"h{i}") for i in range(_HEAD)])
-    members = written(keys.join(shared, "key").join(head, "node").withColumn("group", F.col("node")), "members")
-    chained = sum((F.bit_count(F.col(f"h{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(1, _HEAD)), F.bit_count(F.col("h0").bitwiseXOR(F.col("o0")))) <= bits_apart(similarity, _HEAD)
-    other = [F.col(f"h{i}").alias(f"o{i}") for i in range(_HEAD)]
+    keys = nodes.select("node", "fp").repartition(parts).select("node", F.element_at("fp", 1).alias("h0"), F.explode(chains("fp")).alias("key"))
+    keys = keys.repartition(4 * parts, "key")
+    head = nodes.select("node", *[F.element_at("fp", i + 1).alias(f"h{i}") for i in range(1, _HEAD)])
+    members = written(shared_keys(keys, similarity).join(head, "node").withColumn("group", F.col("node")), "members")
     links = None
     for k in range(rounds + 1):
-        order = F.struct(F.xxhash64("group", F.lit(k)) if k else F.col("group"), F.col("node"))
-        leaders = members.groupBy("key").agg(F.min_by(F.struct(F.col("group").alias("leader_group"), F.col("node").alias("leader"), *other), order).alias("l"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-        leaders = leaders.where("g0 < g1").select("key", "l.*")
         if k < rounds:
-            pairs = members.join(leaders, "key").where((F.col("group") != F.col("leader_group")) & chained)
-            pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))  # one leader a round: groups still apart are compared again
+            pairs = nearest_leaders(members, k, rounds, similarity)
         else:
-            open_members = members.join(leaders.select("key"), "key", "left_semi")
-            others = open_members.select("key", F.col("node").alias("b"), F.col("group").alias("other"), *other)
-            pairs = open_members.join(others, "key").where((F.col("node") < F.col("b")) & (F.col("group") != F.col("other")) & chained).select(F.col("node").alias("a"), "b")
-        found = similar(pairs.distinct(), nodes, texts, shingle, similarity, longs)
+            others = members.select("key", F.col("node").alias("b"), F.col("group").alias("other"), *_other_head())
+            apart = (F.col("node") < F.col("b")) & (F.col("group") != F.col("other")) & (_head_apart() <= bits_apart(similarity, _HEAD))
+            pairs = members.join(others, "key").where(apart).select(F.col("node").alias("a"), "b").distinct()
+        found = similar(pairs, nodes, texts, shingle, similarity, longs)
         links = written(found if links is None else links.unionAll(found), "links")
         roots = components(links).withColumnRenamed("root", "new")
-        if k < rounds:
-            members = written(members.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").withColumn("group", F.coalesce("new", "node")).drop("__n", "new"), "members")
+        if k < rounds:  # buckets whose nodes are one group by now have nothing left to compare
+            grouped = members.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").withColumn("group", F.coalesce("new", "node")).drop("__n", "new")
+            bucket = Window.partitionBy("key")
+            members = written(grouped.withColumn("__open", F.min("group").over(bucket) < F.max("group").over(bucket)).where("__open").drop("__open"), "members")
     placed = nodes.join(roots, "node", "left").select("fp", "row", F.coalesce("new", "node").alias("group"))
     least = placed.groupBy("group").agg(F.min("row").alias("least"))
     return prints.join(placed.join(least, "group").select("fp", "least"), "fp").select("row", "least")
@@ -265,7 +289,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     while row in docs.columns:
         row += "_"
     named = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
-    groups = written(clusters(named, row, text_col, shingle, similarity, longs), "groups")
+    with small_batches(docs.sparkSession):
+        groups = written(clusters(named, row, text_col, shingle, similarity, longs), "groups")
     gone = groups.groupBy("row").agg(F.first("least").alias("least"), F.count("*").alias("n")).where("n > 1 or row != least")
     gone = written(gone.select("row", (F.col("row") == F.col("least")).alias("stays")), "gone")
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -101,6 +101,34 @@ def test_keep_one_keeps_one_row_of_each_group_of_near_copies(spark, nothing, tex
     assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+def test_nodes_together_by_chance_leave_before_rows_are_laid_out(spark):
+    far, near = 0, (1 << 20) - 1  # 20 of the first 64 bits apart
+    rows = [(1, far, 7), (2, -1, 7), (3, far, 8), (4, near, 8), (5, far, 9), (6, -1, 9), (7, 5, 9), (8, far, 10)]
+    got = simhash.shared_keys(spark.createDataFrame(rows, "node long, h0 long, key long"), 0.8).collect()
+    assert sorted((r["key"], r["node"]) for r in got) == [(8, 3), (8, 4), (9, 5), (9, 6), (9, 7)]  # two alone must be near, three may hold a pair
+
+
+def test_leaders_are_few_near_and_of_other_groups(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(62) for _ in range(simhash._HEAD)]
+    head = {n: [x ^ (1 << r.randrange(62)) for x in base] for n in range(40)} | {99: [~x for x in base]}
+    rows = [(n, key << 24, *h, n % 2) for n, h in head.items() for key in range(0, 20, 2)]
+    members = spark.createDataFrame(rows, "node long, key long, " + "".join(f"h{i} long, " for i in range(simhash._HEAD)) + "group long")
+    got = [(x["a"], x["b"]) for x in simhash.nearest_leaders(members, 0, 2, 0.8).collect()]
+    most = {a: sum(1 for x, _ in got if x == a) for a, _ in got}
+    assert got and len(set(got)) == len(got) and max(most.values()) <= simhash._LEADERS and all(a % 2 != b % 2 and 99 not in (a, b) for a, b in got)
+    assert not simhash.nearest_leaders(members, 1, 2, 0.8).collect()  # the other round's chains hold nothing here
+
+
+def test_near_copies_pass_to_python_in_small_batches(spark, monkeypatch):
+    seen, held = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name="table": seen.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or held(df, name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 2}") for i in range(8)], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 2
+    assert seen[0] == "1000" and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_chains_find_pairs_at_the_limit():
     """The share of pairs at a similarity of 0.8 with a common chain, and within the Hamming bound."""
     r, hits, near, n = random.Random(2), 0, 0, 300
