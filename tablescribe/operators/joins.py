@@ -101,6 +101,12 @@ def meeting_bucket(a: tuple[Column, Column], b: tuple[Column, Column], key: Colu
     return (key["l"] == level) & (key["b"] == _bucket(F.greatest(a[0], b[0]), level, width))
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as one side of a join that sorts and merges, whatever size Spark takes it for. A table that few compressed bytes hold, or
+    whose rows an explode multiplies, is taken for small and would be sent whole to the driver and to every executor."""
+    return df.hint("merge")
+
+
 def _free(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}
