@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tablescribe.operators.boxes import overlap_candidates
 from tablescribe.operators.graph import components
-from tablescribe.operators.joins import meeting_square, square_level
+from tablescribe.operators.joins import meeting_square, sorted_side, square_level
 
 
 def crossings(rules: DataFrame, by: Sequence[str], tolerance: float, width: float) -> DataFrame:
@@ -38,12 +38,12 @@ def grids(rules: DataFrame, crossed: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, grid, flats, steeps, crossings, x0, y0, x1, y1, nth): connected rules, two of each kind at least, as grids; grid is the smallest
     id in it, nth its place on the page by crossings, then area, then id."""
     of = components(crossed.select(F.col("h").alias("a"), F.col("v").alias("b"))).withColumnsRenamed({"node": "id", "root": "grid"})
-    inside = rules.join(of, "id")
+    inside = rules.join(sorted_side(of), "id")
     box = inside.groupBy(*by, "grid").agg(
         F.count_if("flat").alias("flats"), F.count_if(~F.col("flat")).alias("steeps"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.when(F.col("flat"), F.col("x1")).otherwise(F.col("x0"))).alias("x1"), F.max(F.when(F.col("flat"), F.col("y0")).otherwise(F.col("y1"))).alias("y1")
     )
-    count = crossed.join(of.withColumnRenamed("id", "h"), "h").groupBy("grid").agg(F.count("*").alias("crossings"))
-    found = box.where("flats >= 2 and steeps >= 2").join(count, "grid")
+    count = crossed.join(sorted_side(of.withColumnRenamed("id", "h")), "h").groupBy("grid").agg(F.count("*").alias("crossings"))
+    found = box.where("flats >= 2 and steeps >= 2").join(sorted_side(count), "grid")
     order = Window.partitionBy(*by).orderBy(F.desc("crossings"), F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), "grid")
     return found.select(*by, "grid", "flats", "steeps", "crossings", "x0", "y0", "x1", "y1", F.row_number().over(order).alias("nth"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescribe.operators.joins import sorted_side
 from tablescribe.sources.scratch import written
 
 
@@ -27,10 +28,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", keep: Callable[[Dat
         before = state
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(sorted_side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-        now = keep(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "edges")
+        now = keep(large.join(sorted_side(least), "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
