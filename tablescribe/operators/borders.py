@@ -117,6 +117,6 @@ def layouts(rules: DataFrame, crossed: DataFrame, by: Sequence[str], page_height
     number = lambda c: F.col(c).cast("double")
     flat = F.struct(number("y0").alias("at"), number("x0").alias("lo"), number("x1").alias("hi"))
     steep = F.struct(number("x0").alias("at"), number("y0").alias("lo"), number("y1").alias("hi"))
-    own = rules.join(of_rule, "id").groupBy("grid").agg(F.collect_list(F.when(F.col("flat"), flat)).alias("flats"), F.collect_list(F.when(~F.col("flat"), steep)).alias("steeps"))
-    laid = best.drop("flats", "steeps").join(own, "grid").withColumn("l", of("flats", "steeps", number("x0"), number("y0"), number("x1"), number("y1")))
+    own = rules.join(sorted_side(of_rule), "id").groupBy("grid").agg(F.collect_list(F.when(F.col("flat"), flat)).alias("flats"), F.collect_list(F.when(~F.col("flat"), steep)).alias("steeps"))
+    laid = best.drop("flats", "steeps").join(sorted_side(own), "grid").withColumn("l", of("flats", "steeps", number("x0"), number("y0"), number("x1"), number("y1")))
     return laid.select(*by, "grid", "l.*")
