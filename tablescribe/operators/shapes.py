@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tablescribe.functions import groups
 from tablescribe.operators.boxes import SIDES, equal_boxes, overlapping
-from tablescribe.operators.joins import cosine, point_keys, range_keys, sorted_side
+from tablescribe.operators.joins import point_keys, range_keys, sorted_side
+from tablescribe.operators.vectors import alike
 
 
 def profile(points: DataFrame, by: Sequence[str], at: str, across: str, lo: float, hi: float, ink: str) -> DataFrame:
@@ -69,9 +70,9 @@ def label_distances(points: DataFrame, by: Sequence[str], label: str, radius: fl
 
 
 def similar_pairs(vectors: DataFrame, by: Sequence[str], id_col: str, vector: str, least: float) -> DataFrame:
-    """(a, b, cosine): pairs of a block with a cosine of `least` or more; blocks bound the pairs compared."""
-    a, b = (vectors.select(*by, F.col(id_col).alias(k), F.col(vector).alias(f"__{k}")) for k in "ab")
-    return a.join(b, list(by)).where("a < b").select("a", "b", F.round(cosine(F.col("__a"), F.col("__b")), 6).alias("cosine")).where(F.col("cosine") >= least)
+    """(a, b, cosine): pairs of a group with a cosine of `least` or more, rounded to 6 digits; groups bound the pairs compared."""
+    pairs = alike(vectors, by, id_col, vector, least - 1e-6)
+    return pairs.select("a", "b", F.round("c", 6).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def row_kind(texts: Column, name: Column, item_fill: Column) -> Column:
