@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescribe.sources.scratch import written
+
 
 #: Bucket widths: `width` times a power of this, as many as there are levels.
 _GROWTH, _LEVELS = 64.0, 6
@@ -210,16 +212,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def ratio_matches(vectors: DataFrame, by: list[str], id_col: str, vector: str, ratio: float) -> DataFrame:
-    """(id, other, cosine): the nearest other vector of a block, where its distance is at most `ratio` times the second's.
+    """(id, other, cosine): the nearest other vector of a group, where its distance is at most `ratio` times the second's.
 
-    Blocks (by) bound the pairs compared; a block's pairs are made by a join and reduced to two per vector by a partial
-    aggregation, never collected; both minima are partial aggregates.
+    Groups (by) bound the pairs compared; the two nearest of every block of a group are written, and the nearest two of these taken.
     """
-    a = vectors.select(*by, F.col(id_col).alias("id"), F.col(vector).alias("__a"))
-    b = vectors.select(*by, F.col(id_col).alias("other"), F.col(vector).alias("__b"))
-    pairs = a.join(b, by).where("id != other").withColumn("c", cosine(F.col("__a"), F.col("__b")))
-    near = pairs.select("id", F.struct((-F.round("c", 9)).alias("d"), "other", "c").alias("n"))
+    from tablescribe.operators.vectors import nearest_two
+
+    pairs = written(nearest_two(vectors, by, id_col, vector, 2e-9))
+    near = pairs.select("id", F.struct(F.when(F.isnan("c"), float("-inf")).otherwise(-F.round("c", 9)).alias("d"), "other", "c").alias("n"))
     best = near.groupBy("id").agg(F.min("n").alias("first"))
-    rest = near.join(best, "id").where(F.col("n.other") != F.col("first.other")).groupBy("id", "first").agg(F.min("n").alias("second"))
+    rest = near.join(sorted_side(best), "id").where(F.col("n.other") != F.col("first.other")).groupBy("id", "first").agg(F.min("n").alias("second"))
     clear = F.round(1 - F.col("first.c"), 9) <= ratio * F.round(1 - F.col("second.c"), 9)
     return rest.where(clear).select("id", F.col("first.other").alias("other"), F.round("first.c", 6).alias("cosine"))
