@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescribe.functions.numbers import CODE, CURRENCY, DATE, DECIMAL, INT, MONEY, MONEY_LOOSE, PERCENT, close, half_up, iou, parse_number, token_class
-from tablescribe.operators import aggregates, joins, windows
+from tablescribe.functions.numbers import CODE, CURRENCY, DATE, DECIMAL, INT, MONEY, MONEY_LOOSE, PERCENT, close, half_up, parse_number, token_class
+from tablescribe.operators import aggregates, boxes, joins, windows
 from tablescribe.plans.registry import pattern_sql as _sql
 from tablescribe.plans.registry import query
 from tablescribe.sources.tables import table
@@ -235,10 +235,8 @@ WITH b AS {BOX_SQL}, p AS (SELECT a.id AS a_id, b.id AS b_id, greatest(0, least(
 SELECT a_id, b_id, round(i / (4800 - i), 6) AS iou FROM p WHERE i / (4800 - i) > 0.5""")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("p_size") * 4.0, F.col("p_retailprice") - 900
-    boxes = lambda k: table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias(f"{k}_id"), x.alias(f"{k}x0"), y.alias(f"{k}y0"), (x + 40).alias(f"{k}x1"), (y + 60).alias(f"{k}y1"))
-    pairs = joins.overlaps(boxes("a"), boxes("b"), ["p_brand"], ("ax0", "ax1"), ("bx0", "bx1"), 40.0).where("a_id < b_id")
-    share = iou(*[F.col(f"{k}{c}") for k in "ab" for c in ("x0", "y0", "x1", "y1")])
-    return pairs.withColumn("iou", share).where("iou > 0.5").select("a_id", "b_id", F.round("iou", 6).alias("iou"))
+    all_boxes = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 60).alias("y1"))
+    return boxes.id_pairs(all_boxes, ["p_brand"], "id", 0.5, 60.0).select("a_id", "b_id", F.round("iou", 6).alias("iou"))
 
 
 @query("""

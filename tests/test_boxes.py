@@ -116,3 +116,9 @@ def test_overlapping_boxes_and_their_candidates(spark):
     ds = spark.createDataFrame(spread, BOX)
     met = boxes.overlapping(ds, ds, ["page"], 40.0).count()
     assert boxes.overlap_candidates(ds, ds, ["page"], 40.0).count() <= 5 * met
+
+
+def test_id_pairs_of_equal_boxes(spark):
+    rows = [("p", i, 0.0, 0.0, 10.0, 10.0) for i in (1, 5, 9)] + [("p", 3, 1.0, 0.0, 11.0, 10.0), ("q", 4, 1.0, 0.0, 11.0, 10.0), ("p", None, 0.0, 0.0, 10.0, 10.0), ("p", 8, None, 0.0, 1.0, 1.0)]
+    got = boxes.id_pairs(spark.createDataFrame(rows, "page string, id long, x0 double, y0 double, x1 double, y1 double"), ["page"], "id", 0.5, 20.0)
+    assert sorted((r["a_id"], r["b_id"], round(r["iou"], 4)) for r in got.collect()) == [(1, 3, 0.8182), (1, 5, 1.0), (1, 9, 1.0), (3, 5, 0.8182), (3, 9, 0.8182), (5, 9, 1.0)]
