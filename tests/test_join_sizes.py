@@ -11,6 +11,6 @@ def sent_whole(df):
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
 
 
-@pytest.mark.parametrize("name", ["split_and_merge", "border_crossings", "border_grids", "border_layouts", "first_block_by_iou", "host_rows", "mean_best_iou", "overlap_mean_confidence"])
+@pytest.mark.parametrize("name", ["split_and_merge", "border_crossings", "border_grids", "border_layouts", "first_block_by_iou", "host_rows", "mean_best_iou", "overlap_mean_confidence", "iou_pairs", "best_shears"])
 def test_no_table_is_sent_whole(spark, name):
     assert sent_whole(QUERIES[name](spark, SF)) == 0
