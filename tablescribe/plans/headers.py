@@ -79,7 +79,7 @@ SELECT page, rule, found, total, round(token_score, 4) AS token_score, in_order,
 QUALIFY row_number() OVER (PARTITION BY page ORDER BY found / total DESC, round(token_score, 9) DESC, rule) = 1""")
 def closest_header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = title_rules(spark, sf_dir)
-    best = headers.best_rules(headers.alignments(title_rows(spark, sf_dir), rules, ["page"]), rules, ["page"])
+    best = headers.closest_rules(headers.aligned_rules(title_rows(spark, sf_dir), rules, ["page"]), rules, ["page"])
     return best.select("page", "rule", "found", "total", F.round("token_score", 4).alias("token_score"), "in_order", "exact")
 
 
